@@ -1,0 +1,56 @@
+"""Every registered query of the core against its SQL, on the smallest tables."""
+
+import os
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from lodestock.plans import core
+
+
+def plain(value):
+    return tuple(map(plain, value)) if isinstance(value, list) else value
+
+
+@pytest.fixture(scope="module")
+def db(data):
+    con = duckdb.connect()
+    for f in Path(data).iterdir():
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    return con
+
+
+def same(spark, db, data, query, sql):
+    df = query(spark, data)
+    columns = sorted(df.columns)
+    got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
+    rel = db.sql(sql)
+    at = [rel.columns.index(c) for c in columns]
+    assert sorted(rel.columns) == columns
+    assert got == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
+
+
+def test_all_queries_have_sql():
+    assert set(core.SQL) == set(core.QUERIES)
+
+
+@pytest.mark.parametrize("name", list(core.QUERIES))
+def test_query(spark, db, data, name):
+    same(spark, db, data, core.QUERIES[name], core.SQL[name])
+
+
+def test_entry(spark, data):
+    import __spark_entry__ as entry
+
+    assert set(core.QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    if os.path.isdir("/root/testdata/sf0.001"):
+        assert entry.entry(spark).count() > 0
+
+
+def test_nothing_outside_imports_the_optional_subpackage():
+    root = Path(core.__file__).parents[1]
+    for f in root.rglob("*.py"):
+        if "llm" not in f.relative_to(root).parts:
+            assert "lodestock.llm" not in f.read_text()
