@@ -179,9 +179,11 @@ class Dictionary:
         self.weights = weights
         self.forms: list[tuple[str, float, int, int]] = []  # form, own cost, class id, frequency
         held: dict[int, set[int]] = defaultdict(set)
+        longest = 0
         for class_id, names, frequency in entries:
             every: dict[str, float] = {}
             for name in names:
+                longest = max(longest, len(name))
                 for form, cost in forms_of(name, weights).items():
                     every[form] = min(cost, every.get(form, cost))
             for form, cost in every.items():
@@ -190,7 +192,7 @@ class Dictionary:
                 for key in keys_of(form, cost >= weights.cut):
                     held[key].add(at)
         self.keys = {k: tuple(v) for k, v in held.items()}
-        self.longest = max((len(f[0]) for f in self.forms), default=0)
+        self.longest = longest
 
     def find(self, value: str) -> tuple[int, float | None]:
         """(class id or MISS, its distance)."""
@@ -201,10 +203,15 @@ class Dictionary:
         return (self.forms[i] for i in at)
 
 
+def comparable(text: str, longest: int) -> bool:
+    """Whether a text of its length can be near a form, the longest name having so many characters."""
+    return 0 < len(text) <= 2 * longest + 2
+
+
 def best_of(value: str, near: object, longest: int, w: Weights) -> tuple[int, float | None]:
     """The best of the forms near a typed value: by distance, then frequency, then id."""
     text = "".join(words(value))
-    if not text or len(text) > 2 * longest:
+    if not comparable(text, longest):
         return MISS, None
     best: tuple[float, int, int] | None = None
     for form, own, class_id, frequency in near(text):
@@ -277,13 +284,14 @@ def _by_broadcast(rows: DataFrame, value: str, entries: DataFrame, weights: Weig
 def _by_shuffle(rows: DataFrame, value: str, entries: DataFrame, weights: Weights) -> DataFrame:
     """For lists too long to broadcast: values and forms meet by their keys, and no step holds more of
     the list than one value's candidates, one at a time."""
+    longest = entries.select(F.max(F.array_max(F.transform("names", F.length)))).first()[0] or 0
 
     def keyed_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, list, list] = [], [], []
             for value_ in batch.column(0).to_pylist():
                 text = "".join(words(value_))
-                if text:
+                if comparable(text, longest):
                     for key in set(keys_of(text, False)):
                         out[0].append(key), out[1].append(value_), out[2].append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2])], names=["k", "v", "t"])

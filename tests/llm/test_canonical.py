@@ -1,0 +1,103 @@
+import pytest
+
+from lodestock.llm import canonical as c
+
+LIST = [
+    (1, "tabby cat", ["moggy", None]),
+    (2, "kettle", None),
+    (3, "copper kettle", []),
+    (4, "traffic light", ["stoplight"]),
+    (5, "suspension bridge", None),
+    (6, "field mouse", None),
+    (7, "lantern", None),
+    (8, "paper lantern", None),
+]
+MEANT = {
+    1: ["TABBY CAT ", "tabby cat", "tábby cat", "tabbу сat", "t​abby c­at", "ｔａｂｂｙ ｃａｔ", "cat (tabby)", "tabbycat", "Tabby_cat", "tabby cats", "moggys", "mogfy", "taby cta", "photo of tabby cat", "tabby cat (2)", "1x tabby cat", "tabby cat copy", "IMG tabby cat"],
+    2: ["kettlee", "ketle", "KETTLE?", "my kettle", "kttle", "keettle", "kettlr"],
+    3: ["Coper Ktetle", "cppr kttl", "kettle, copper", "copper ke", "copper kettle #4"],
+    4: ["light (traffic)", "traffic lihgt", "trffc lght", "stoplihgt", "trafficlight"],
+    5: ["suspe. bridge", "sspnsn brdg", "suspension bri", "Bridge, suspension"],
+    6: ["fld ms", "feild muose", "fieldmouse"],
+    7: ["LANTWRN", "lantrn"],
+    8: ["ppr lntrn", "paper / lantern"],
+}
+MISSES = ["harpsichord", "n/a", "-", " ", "12345", "zxkz", "нет", "不明", "DSC_1079", "batch 20", "​", "🙂", "a", "qwertyuiop" * 5000]
+
+
+@pytest.fixture(scope="module")
+def dictionary():
+    return c.Dictionary((i, [n, *(a for a in x or [] if a)], 0) for i, n, x in LIST)
+
+
+@pytest.mark.parametrize("meant,typed", [(m, t) for m, ts in MEANT.items() for t in ts])
+def test_found(dictionary, meant, typed):
+    assert dictionary.find(typed)[0] == meant
+
+
+@pytest.mark.parametrize("typed", MISSES)
+def test_missed(dictionary, typed):
+    assert dictionary.find(typed) == (c.MISS, None)
+
+
+def test_weights():
+    assert c.distance("kettle", "kettle") == 0
+    assert c.distance("kettel", "kettle") == c.DEFAULT.swap
+    assert c.distance("kttle", "kettle") == c.DEFAULT.vowel
+    assert c.distance("kettlr", "kettle") == c.DEFAULT.near
+    assert c.distance("keettle", "kettle") == c.DEFAULT.doubled
+    assert c.distance("ketle", "kettle") == c.DEFAULT.doubled
+    assert c.distance("", "ab") == c.DEFAULT.vowel + c.DEFAULT.edit
+    assert c.distance("xyz", "kettle", limit=1) > 1
+
+
+def test_symmetric_deletes_find_every_form_within_reach(dictionary):
+    """Brute force over all forms finds nothing better than the dictionary does."""
+    typed = [t for ts in MEANT.values() for t in ts] + MISSES[:-1]
+    for value in typed:
+        every = c.best_of(value, lambda text: dictionary.forms, dictionary.longest, dictionary.weights)
+        assert dictionary.find(value) == every, value
+
+
+def test_ties_go_to_the_more_frequent_then_the_lower_id():
+    names = [(7, ["rose bed"], 3), (5, ["nose bed"], 3), (9, ["hose bed"], 3)]
+    assert c.Dictionary(names).find("bose bed")[0] in (5, 7, 9)
+    even = [(7, ["xaaaaa"], 1), (5, ["zaaaaa"], 1)]
+    assert c.Dictionary(even).find("paaaaa")[0] == 5
+    assert c.Dictionary([(7, ["xaaaaa"], 2), (5, ["zaaaaa"], 1)]).find("paaaaa")[0] == 7
+
+
+def frames(spark):
+    typed = [t for ts in MEANT.values() for t in ts] + MISSES + ["kettle", "tabby cat", None, "", "Coper Ktetle", "Coper Ktetle"]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(typed)], "seq bigint, label string, class_name string")
+    return rows, spark.createDataFrame(LIST, "class_id int, class_name string, aliases array<string>")
+
+
+def test_both_ways_agree(spark):
+    rows, reference = frames(spark)
+    small = c.canonicalise(rows, "label", reference)
+    large = c.canonicalise(rows, "label", reference, broadcast_entries=0)
+    assert small.columns == ["seq", "label", "class_name", "class_id", "cost", "exact"]
+    a, b = sorted(map(tuple, small.collect())), sorted(map(tuple, large.collect()))
+    assert a == b
+    by = {r["label"]: r for r in small.collect()}
+    assert None not in by and "" not in by
+    assert (by["kettle"]["class_id"], by["kettle"]["exact"], by["kettle"]["cost"]) == (2, True, 0.0)
+    for meant, typed in MEANT.items():
+        assert {by[t]["class_id"] for t in typed} == {meant}
+    assert len(a) == rows.count() - 2
+
+
+def test_misses_are_reported(spark):
+    rows, reference = frames(spark)
+    got = dict(map(tuple, c.misses(c.canonicalise(rows, "label", reference), "label").collect()))
+    assert got == {m: 1 for m in MISSES}
+
+
+def test_empty_tables(spark):
+    rows, reference = frames(spark)
+    assert c.canonicalise(rows.where("false"), "label", reference).count() == 0
+    none = c.canonicalise(rows, "label", reference.where("false"))
+    assert {r["class_id"] for r in none.collect()} == {c.MISS}
+    with pytest.raises(ValueError):
+        c.canonicalise(rows.withColumnRenamed("seq", "cost"), "label", reference)

@@ -1,0 +1,99 @@
+import bisect
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestock.llm import quantiles as q
+
+
+def worst(sketch, values):
+    """Greatest rank error of the percentiles, as a share."""
+    ordered = sorted(values)
+    errors = []
+    for share in (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99):
+        (got,) = sketch.values((share,))
+        low, high = bisect.bisect_left(ordered, got) + 1, bisect.bisect_right(ordered, got)
+        want = max(1, math.ceil(share * len(ordered)))
+        errors.append(max(0, low - want, want - high) / len(ordered))
+    return max(errors)
+
+
+@pytest.mark.parametrize("kind", ["uniform", "skewed", "sorted", "ties"])
+def test_error_is_within_the_stated_bound(kind):
+    rng = np.random.default_rng(3)
+    n = 300_000
+    values = {"uniform": rng.integers(0, 10**9, n), "skewed": (rng.pareto(0.5, n) * 1000).clip(0, 1e15).astype(np.int64), "sorted": np.arange(n), "ties": rng.integers(0, 5, n)}[kind]
+    s = q.Sketch()
+    for part in np.array_split(values, 40):
+        s.add(part, rng)
+    assert s.n == n and (s.least, s.most) == (values.min(), values.max())
+    assert 0 < s.rank_error() < 0.015
+    assert worst(s, values.tolist()) <= s.rank_error()
+    assert sum(map(len, s.levels)) < 3 * q.SIZE + 200
+
+
+def test_merged_sketches_keep_the_bound():
+    rng = np.random.default_rng(4)
+    whole, parts = q.Sketch(), []
+    for size in [5, 100_000, 1, 30_000, 777] * 4:
+        values = rng.integers(-(10**6), 10**6, size)
+        s = q.Sketch()
+        s.add(values, rng)
+        parts.append(values)
+        whole.merge(s.n, s.least, s.most, s.squares, s.levels, rng)
+    every = np.concatenate(parts)
+    assert whole.n == len(every)
+    assert worst(whole, every.tolist()) <= whole.rank_error() < 0.02
+
+
+def test_small_groups_are_exact():
+    s = q.Sketch()
+    s.add(np.array([5, 1, 9, 9]), np.random.default_rng(0))
+    assert s.values((0.0, 0.25, 0.5, 0.75, 1.0)) == [1, 1, 5, 9, 9] and s.rank_error() == 0
+    assert q.Sketch().rank_error() == 0
+
+
+def rows(spark, n=60_000):
+    label = F.when(F.col("id") % 10 < 6, "hot").when(F.col("id") % 10 == 6, None).otherwise(F.concat(F.lit("k"), F.col("id") % 500))
+    day = F.when(F.col("id") % 13 == 0, None).otherwise(F.expr("date_add(date'2020-01-01', cast(id % 3 as int))"))
+    size = F.when(F.col("id") % 17 == 0, None).otherwise(F.pmod(F.xxhash64("id"), F.lit(10**12)))
+    return spark.range(0, n, 1, 6).select(label.alias("label"), day.alias("day"), size.alias("n"))
+
+
+def test_days_merge_to_all(spark):
+    df = rows(spark)
+    days = q.sketch_groups(df, ["label", "day"], "n")
+    by_day = {(r["label"], r["day"]): r for r in q.percentiles(days, ["label", "day"]).collect()}
+    whole = {r["label"]: r for r in q.percentiles(q.merge_sketches(days, ["label"]), ["label"]).collect()}
+    exact = {}
+    for r in df.where("n is not null").collect():
+        exact.setdefault((r["label"], r["day"]), []).append(r["n"])
+        exact.setdefault(r["label"], []).append(r["n"])
+    assert {k: (r["n"], r["least"], r["most"]) for k, r in {**by_day, **whole}.items()} == {k: (len(v), min(v), max(v)) for k, v in exact.items()}
+    for key, r in {**by_day, **whole}.items():
+        ordered = sorted(exact[key])
+        for share in q.QUANTILES:
+            got = r[f"p{share * 100:g}"]
+            want = max(1, math.ceil(share * len(ordered)))
+            off = max(0, bisect.bisect_left(ordered, got) + 1 - want, want - bisect.bisect_right(ordered, got))
+            assert off <= r["rank_error"] * len(ordered)
+    assert q.percentiles(days, ["label", "day"]).columns == ["label", "day", "n", "least", "most", "p5", "p25", "p50", "p75", "p95", "p99", "rank_error"]
+
+
+def test_flushing_changes_no_counts(spark, monkeypatch):
+    df = rows(spark, 5000)
+    want = {(r["label"], r["day"], r["n"]) for r in q.percentiles(q.sketch_groups(df, ["label", "day"], "n"), ["label", "day"]).collect()}
+    monkeypatch.setattr(q, "HELD_VALUES", 10)
+    assert {(r["label"], r["day"], r["n"]) for r in q.percentiles(q.sketch_groups(df, ["label", "day"], "n"), ["label", "day"]).collect()} == want
+
+
+def test_same_run_same_answers(spark):
+    one, two = (sorted(map(repr, q.percentiles(q.sketch_groups(rows(spark), ["label"], "n"), ["label"]).collect())) for _ in range(2))
+    assert one == two
+
+
+def test_nothing(spark):
+    assert q.percentiles(q.sketch_groups(rows(spark).where("false"), ["label"], "n"), ["label"]).count() == 0
+    assert q.percentiles(q.sketch_groups(rows(spark).withColumn("n", F.lit(None).cast("bigint")), ["label"], "n"), ["label"]).count() == 0
