@@ -73,8 +73,8 @@ class Weights:
     bones: float = 0.7
     cut: float = 0.25
     cut_letter: float = 0.12
-    least: float = 0.75
-    share: float = 0.19
+    least: float = 1.0
+    share: float = 0.21
     most: float = 2.6
 
     def allowed(self, length: int) -> float:
