@@ -100,7 +100,7 @@ def number_rows(df: DataFrame, key: str, chunk_rows: int, stable_scan: bool = Fa
     schema = T.StructType([*joined.schema.fields, T.StructField("_hk_number", T.LongType())])
     return (
         joined.mapInArrow(_number_batches(key), schema)
-        .withColumn("_hk_chunk", F.floor(F.col("_hk_number") / F.lit(chunk_rows)).cast("bigint"))
+        .withColumn("_hk_chunk", F.expr(f"_hk_number div {chunk_rows}"))
         .select(*df.columns, "_hk_chunk")
     )
 
@@ -114,7 +114,7 @@ def _number_after_shuffle(placed: DataFrame, offsets: DataFrame, key: str, chunk
         offsets, F.col(key).eqNullSafe(F.col("_hk_key")) & (F.col("_hk_part") == F.col("_hk_at")), "left"
     ).withColumn(
         "_hk_chunk",
-        F.coalesce(F.floor((F.col("_hk_place") + F.col("_hk_offset")) / F.lit(chunk_rows)), F.lit(0)).cast("bigint"),
+        F.coalesce(F.expr(f"(_hk_place + _hk_offset) div {chunk_rows}"), F.lit(0).cast("bigint")),
     )
 
 

@@ -78,24 +78,25 @@ def absent(rows: DataFrame, known: DataFrame, key: str = "sha256") -> DataFrame:
     return rows.join(known.select(key), key, "left_anti").select(*rows.columns)
 
 
+def winners(requests: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """(sha256, seq) of the request that wins each digest: that of least seq among those whose digest
+    isn't in `existing`. A hash aggregation of two narrow columns, reduced before it moves."""
+    won = requests.where(F.col("sha256").isNotNull()).groupBy("sha256").agg(F.min("seq").alias("seq"))
+    return won if existing is None else absent(won, existing)
+
+
 def first_wins(requests: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """(seq, sha256, source, size, label): the request that wins each digest, i.e. that of least seq
-    among those whose digest isn't in `existing`. Requests without a digest win nothing."""
-    kept = F.struct("seq", "source", "size", "label")
-    won = (
-        requests.where(F.col("sha256").isNotNull())
-        .groupBy("sha256")
-        .agg(F.min_by(kept, F.col("seq")).alias("won"))
-        .select("won.seq", "sha256", "won.source", "won.size", "won.label")
-    )
-    return won if existing is None else absent(won, existing).select(*won.columns)
+    """(seq, sha256, source, size, label): the winning requests as they are. Requests without a digest
+    win nothing. `seq` is unique, so the join that fetches the other columns has no hot key."""
+    won = winners(requests, existing)
+    return requests.select("seq", *ITEM_FIELDS).join(won, ["seq", "sha256"], "left_semi")
 
 
 def import_log(requests: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """(seq, sha256, added): one row per request, as if each had been added in the order of seq.
     `added` is null for a request without a digest."""
-    won = first_wins(requests, existing).select("seq", F.lit(True).alias("_won"))
-    return requests.join(won, "seq", "left").select(
+    won = winners(requests, existing).select("seq", F.lit(True).alias("_won"))
+    return requests.select("seq", "sha256").join(won, "seq", "left").select(
         "seq",
         "sha256",
         F.when(F.col("sha256").isNotNull(), F.coalesce("_won", F.lit(False))).alias("added"),
