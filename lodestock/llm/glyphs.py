@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import regex
 
@@ -77,7 +78,11 @@ _EMOJI = r"[\p{So}\p{Sk}\ufe0f\U0001F1E6-\U0001F1FF]"
 # A joiner stays between emoji, a variation selector after one.
 _LOOSE = regex.compile(rf"(?<!{_EMOJI})[\u200d\ufe0e\ufe0f]+|\u200d+(?!{_EMOJI})")
 _HIDDEN = {code: None for a, b in SHOWS_NOTHING for code in range(a, b + 1)}
+HIDDEN = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in SHOWS_NOTHING) + "]+|" + _LOOSE.pattern)
 _PLAIN = {**WIDE, **{ord(c): " " for c in FIXED_SPACES}, **_HIDDEN}
+# Runs of letters that may look like Latin ones, with their accents; and whatever tidy() changes.
+_FOREIGN = regex.compile(r"[\u00b5\u0251\u0261\u0370-\u058f\u1f00-\u1fff\u2c6d\ua7ac][\u00b5\u0251\u0261\u0300-\u058f\u1f00-\u1fff\u2c6d\ua7ac]*")
+_UNTIDY = regex.compile("[" + "".join(f"\\U{c:08x}" for c in [*_PLAIN, 0x200D, 0xFE0E, 0xFE0F]) + "]")
 _LATIN = {ord(other): latin for other, latin in TO_LATIN.items()}
 
 
@@ -87,6 +92,8 @@ def tidy(text: str) -> str:
     alike letters stay as they are."""
     if text.isascii():
         return text
+    if not _UNTIDY.search(text):
+        return unicodedata.normalize("NFC", text)
     text = text.translate(_PLAIN)
     if "\u200d" in text or "\ufe0f" in text or "\ufe0e" in text:
         text = _LOOSE.sub("", text)
@@ -103,12 +110,15 @@ def shows(text: str) -> list[bool]:
     return kept
 
 
+@lru_cache(maxsize=100_000)
+def _latin_run(run: str) -> str:
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", run).translate(_LATIN))
+
+
 def to_latin(text: str) -> str:
-    """Text with every look-alike letter as the Latin one, also below an accent. Equal for two tidy
-    texts just when they look the same."""
-    if text.isascii():
-        return text
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_LATIN))
+    """A tidy text with every look-alike letter as the Latin one, also below an accent. Equal for two
+    tidy texts just when they look the same."""
+    return text if text.isascii() else _FOREIGN.sub(lambda m: _latin_run(m[0]), text)
 
 
 def _closed_under_case() -> dict[int, str]:
@@ -132,13 +142,18 @@ def _closed_under_case() -> dict[int, str]:
 _MATCH = _closed_under_case()
 
 
+@lru_cache(maxsize=100_000)
+def _match_run(run: str) -> str:
+    parts = unicodedata.normalize("NFD", run).translate(_MATCH).casefold().translate(_MATCH)
+    return unicodedata.normalize("NFC", parts)
+
+
 def match_fold(text: str) -> str:
     """A coarse form of a tidy text for comparing words whatever their case and look: equal words stay
     equal, and a few different letters (such as Cyrillic "в" and Latin "b") become one."""
     if text.isascii():
         return text.casefold()
-    parts = unicodedata.normalize("NFD", text).translate(_MATCH).casefold().translate(_MATCH)
-    return unicodedata.normalize("NFC", parts)
+    return _FOREIGN.sub(lambda m: _match_run(m[0]), text).casefold()
 
 
 def bare(text: str) -> str:

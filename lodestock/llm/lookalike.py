@@ -67,6 +67,7 @@ def _twins() -> dict[str, dict[str, str]]:
 TWINS = _twins()
 
 
+@lru_cache(maxsize=100_000)
 def mixed(token: str) -> bool:
     """Whether a token has letters of more than one script that may look alike."""
     return not token.isascii() and len({s for s in map(script, filter(str.isalpha, token)) if s != "other"}) > 1
@@ -105,18 +106,27 @@ def settled(token: str) -> str:
     return latin
 
 
-def form(text: str, repairs: dict[str, str] | None = None) -> str:
-    """The form of a text, with the repairs that the vocabulary confirms."""
+def formed(text: str, repairs: dict[str, str]) -> tuple[str, int]:
+    """The form of a text, and how many of its tokens the vocabulary's repairs settled."""
     text = tidy(text)
     if text.isascii():
-        return text
-    known = repairs or {}
+        return text, 0
+    count = 0
 
     def one(m: regex.Match) -> str:
-        token = m[0]
-        return token if token.isascii() else settled(known.get(token, token))
+        nonlocal count
+        if (token := m[0]).isascii():
+            return token
+        repaired = repairs.get(token)
+        count += repaired is not None
+        return settled(repaired or token)
+
+    return _TOKEN.sub(one, text), count
 
-    return _TOKEN.sub(one, text)
+
+def form(text: str, repairs: dict[str, str] | None = None) -> str:
+    """The form of a text, with the repairs that the vocabulary confirms."""
+    return formed(text, repairs or {})[0]
 
 
 def _tokens(df: DataFrame, text: str) -> DataFrame:
@@ -193,11 +203,7 @@ def _form_rows(repairs: object) -> object:
                     written.append(None)
                     counts.append(0)
                     continue
-                count = 0
-                if not content.isascii():
-                    known = repairs(batch, i)
-                    count = sum(t in known for t in _TOKEN.findall(tidy(content)) if not t.isascii())
-                    content = form(content, known)
+                content, count = (content, 0) if content.isascii() else formed(content, repairs(batch, i))
                 written.append("" if not content.strip() else content)
                 counts.append(count)
             yield pa.RecordBatch.from_arrays(
