@@ -29,6 +29,7 @@ from lodestock.session import cut, fits
 
 PREFIX = "_hk_"
 BROADCAST_ROWS = 200_000
+SPLITS_SETTING = "spark.sql.files.minPartitionNum"
 
 
 def _number_batches(key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -65,18 +66,27 @@ def partition_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key, F.spark_partition_id().alias("_hk_part")).agg(F.count("*").alias("_hk_rows"))
 
 
+def _with_fixed_splits(df: DataFrame) -> DataFrame:
+    """df, in a session whose scans are split alike even if executors come or go between two of them."""
+    spark = df.sparkSession
+    if spark.conf.get(SPLITS_SETTING, None) is None:
+        spark.conf.set(SPLITS_SETTING, str(spark.sparkContext.defaultParallelism))
+    return df
+
+
 def number_rows(df: DataFrame, key: str, chunk_rows: int, stable_scan: bool = False) -> DataFrame:
     """df with `_hk_chunk` (bigint): the chunk of its key that each row belongs to.
 
-    Counting and numbering must see the same partitions. A plain scan of files is split alike in one
-    session, which the caller states by `stable_scan`; any other input is first written to the shared
-    checkpoint folder.
+    Counting and numbering must see the same partitions. A plain scan of files is split alike as long
+    as the session's settings are, which the caller states by `stable_scan` (how many cores there are
+    just then counts too, so their number is fixed for the session's scans); any other input is first
+    written to the shared checkpoint folder.
     """
     if clash := [c for c in df.columns if c.startswith(PREFIX)]:
         raise ValueError(f"columns {clash} clash with the operator's own")
     if chunk_rows < 1:
         raise ValueError("chunk_rows must be at least 1")
-    source = df if stable_scan else cut(df)
+    source = _with_fixed_splits(df) if stable_scan else cut(df)
     counts = partition_counts(source.select(key), key)
     totals = counts.groupBy(key).agg(F.sum("_hk_rows").alias("_hk_total"))
     hot = totals.where(F.col("_hk_total") > chunk_rows).select(F.col(key).alias("_hk_key"))
