@@ -18,8 +18,9 @@ reported. Items are broadcast in blocks of a bounded size, with one pass over th
 from __future__ import annotations
 
 import html
+from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestock.llm.glyphs import match_fold, shows, tidy, to_latin
+from lodestock.llm.glyphs import HIDDEN, match_fold, shows, tidy, to_latin
 
 PHRASE = 12
 SHARD_WORDS = 400_000
@@ -53,6 +54,8 @@ _INLINE = regex.compile(
     regex.I,
 )
 _ENTITY = regex.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});")
+_ACCENTED = regex.compile(r"(?s).\p{M}+")
+_NOT_ASCII = regex.compile(r"[\p{L}--[a-zA-Z]][\p{L}\p{M}--[a-zA-Z]]*|[^\x00-\x7f]", regex.V1)
 _RUN = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
 
 
@@ -75,41 +78,99 @@ def words(text: str) -> list[str]:
     return _RUN.findall(match_fold(plain(text)))
 
 
-def word_places(text: str) -> tuple[list[str], list[int], list[int]]:
-    """The words of a text, and where each begins and ends in the text as it is. Slower than words(), for
-    texts in which something was found; each step keeps the place of every character."""
-    chars = [(c, i, i + 1) for i, (c, shown) in enumerate(zip(text, shows(text))) if shown]
-    clusters: list[tuple[str, int, int]] = []
-    for c, a, b in chars:  # a letter with the accents that follow it
-        if clusters and regex.match(r"\p{M}", c):
-            held, start, _ = clusters[-1]
-            clusters[-1] = (held + c, start, b)
-        else:
-            clusters.append((c, a, b))
-    placed = [(x, a, b) for c, a, b in clusters for x in (to_latin(tidy(c)) if not c.isascii() else c)]
-
-    def replace(pattern: regex.Pattern, by: object) -> None:
-        nonlocal placed
-        whole = "".join(p[0] for p in placed)
-        out, last = [], 0
-        for m in pattern.finditer(whole):
+class Edited:
+    """A text under a series of substitutions that remembers where its characters came from."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.steps: list[tuple[list[int], list[tuple[int, int, bool]]]] = []
+
+    def replace(self, pattern: regex.Pattern, by: Callable[[str], str]) -> None:
+        pieces, marks, last, length = [], [(0, 0, False)], 0, 0
+        for m in pattern.finditer(self.text):
             a, b = m.span()
-            out += placed[last:a]
-            out += [(c, placed[a][1], placed[b - 1][2]) for c in by(m[0])]
+            put = by(m[0])
+            pieces += (self.text[last:a], put)
+            length += a - last
+            if len(put) != b - a:
+                # What was put in comes from the whole of what it replaces.
+                marks += [(length, a, True)] * bool(put) + [(length + len(put), b, False)]
+            length += len(put)
             last = b
-        placed = out + placed[last:]
+        if last:
+            self.text = "".join([*pieces, self.text[last:]])
+        if len(marks) > 1:
+            self.steps.append(([m[0] for m in marks], marks))
+
+    def origin(self, start: int, end: int) -> tuple[int, int]:
+        """Where the characters from start to before end come from."""
+        for starts, marks in reversed(self.steps):
+            i = bisect_right(starts, start) - 1
+            at, was, whole = marks[i]
+            start = was if whole else was + start - at
+            i = bisect_right(starts, end - 1) - 1
+            at, was, whole = marks[i]
+            end = marks[i + 1][1] if whole else was + end - at
+        return start, end
+
+
+def _located(text: str) -> Edited:
+    """The text as words() reads it, step by step."""
+    e = Edited(text)
+    if not text.isascii():
+        e.replace(HIDDEN, lambda x: "")
+        e.replace(_ACCENTED, tidy)
+        e.replace(_NOT_ASCII, lambda x: to_latin(tidy(x)))
+    if "&" in e.text:
+        for _ in range(2):
+            e.replace(_ENTITY, html.unescape)
+        e.replace(HIDDEN, lambda x: "")
+        e.replace(_ACCENTED, tidy)
+        e.replace(_NOT_ASCII, tidy)
+    if "<" in e.text or "[" in e.text or "{" in e.text:
+        e.replace(_DROPPED, lambda x: " ")
+        e.replace(_INLINE, lambda x: "")
+    e.replace(_NOT_ASCII, match_fold)
+    e.text = e.text.lower()  # the rest is ASCII
+    return e
+
+
+class Places:
+    """Where the words of a text stand in it as it is. Made only for texts in which something was found."""
+
+    def __init__(self, text: str) -> None:
+        self.edited = _located(text)
+        if _RUN.findall(self.edited.text) != words(text):  # some unusual composition
+            self.edited = _each_character(text)
+        self.at = [m.span() for m in _RUN.finditer(self.edited.text)]
+
+    def span(self, first: int, last: int) -> tuple[int, int]:
+        """The characters of the words from `first` to before `last`."""
+        return self.edited.origin(self.at[first][0], self.at[last - 1][1])
+
+
+def _each_character(text: str) -> Edited:
+    """Like _located, for any text: each letter with what belongs to it is a step of its own."""
+    e = Edited(text)
+    shown = iter(shows(text))
+    e.replace(regex.compile(r"(?s)."), lambda c: c if next(shown) else "")
+    e.replace(regex.compile(r"(?s).\p{M}*"), lambda c: to_latin(tidy(c)))
+    if "&" in e.text:
+        for _ in range(2):
+            e.replace(_ENTITY, html.unescape)
+        e.replace(HIDDEN, lambda x: "")
+        e.replace(regex.compile(r"(?s).\p{M}*"), tidy)
+    e.replace(_DROPPED, lambda x: " ")
+    e.replace(_INLINE, lambda x: "")
+    e.replace(regex.compile(r"(?s).\p{M}*"), match_fold)
+    return e
+
 
-    for _ in range(2):
-        replace(_ENTITY, lambda e: tidy(html.unescape(e)))
-    replace(_DROPPED, lambda m: " ")
-    replace(_INLINE, lambda m: "")
-    placed = [(x, a, b) for c, a, b in placed for x in match_fold(c)]
-    found, starts, ends = [], [], []
-    for m in _RUN.finditer("".join(p[0] for p in placed)):
-        found.append(m[0])
-        starts.append(placed[m.start()][1])
-        ends.append(placed[m.end() - 1][2])
-    return found, starts, ends
+def word_places(text: str) -> tuple[list[str], list[int], list[int]]:
+    """The words of a text, and where each begins and ends in the text as it is."""
+    p = Places(text)
+    spans = [p.span(i, i + 1) for i in range(len(p.at))]
+    return [p.edited.text[a:b] for a, b in p.at], [a for a, _ in spans], [b for _, b in spans]
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -318,13 +379,12 @@ def find_leaks(
 def _search(shared: object, shard_words: int, schema: T.StructType) -> object:
     def flush(shard: Shard, held: list[tuple[object, str]], arrow: pa.Schema) -> pa.RecordBatch:
         rows: list[tuple] = []
-        places: dict[int, tuple] = {}
+        places: dict[int, Places] = {}
         for (t, item), spans in shard.find(shared.value).items():
             if t not in places:
-                places[t] = word_places(held[t][1])
-            _, starts, ends = places[t]
-            joined = merged(spans)
-            rows.append((held[t][0], item, [{"start": starts[a], "end": ends[b - 1]} for a, b in joined]))
+                places[t] = Places(held[t][1])
+            joined = [places[t].span(a, b) for a, b in merged(spans)]
+            rows.append((held[t][0], item, [{"start": a, "end": b} for a, b in joined]))
         columns = list(zip(*rows)) if rows else [[] for _ in arrow]
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], names=arrow.names)
 
