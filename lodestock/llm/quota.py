@@ -1,10 +1,10 @@
 """Problem 2: a sample that matches target shares of categories.
 
 Allocation goes top down over a category tree (plan, group, category). A category's quota is its share
-of the sample, raised to its minimum; what the minimums add is taken from categories above theirs. What
-a category can't supply goes to its siblings (same group) with rows to spare, then what the group can't
-supply to cousins (other groups of the plan), each time in proportion to their target shares as far as
-their rows go. What remains is reported as unmet.
+of the sample, raised to its minimum as far as it has rows; what the minimums add is taken from
+categories above theirs. What a category can't supply of its share goes to its siblings (same group)
+with rows to spare, then what the group can't supply to cousins (other groups of the plan), each time in
+proportion to their target shares as far as their rows go. What nobody has is reported as unmet.
 
 The draw takes from each category the rows of lowest rank in a pseudo-random order, without sorting a
 category in one task: rows are counted by ranges of the order, the range in which the quota ends is
@@ -58,12 +58,14 @@ def _filled(df: DataFrame, by: list[str], amount: Column, room: Column, weight:
 
 def allocate(targets: DataFrame, available: DataFrame, tree: DataFrame) -> DataFrame:
     """One row per target: (plan_id, label, category_group, wanted, minimum, available, allocated,
-    unmet, short).
+    missing, passed, unmet, short).
 
     targets: (plan_id, sample_size, label, target_share, min_items); available: (label, available);
-    tree: (label, category_group), for labels without one OTHER_GROUP. `short`: fewer rows than wanted
-    or than the minimum. `unmet`: what of the category's quota nobody could take over, or came short of
-    its minimum. The windows run within a plan, which has one row per category.
+    tree: (label, category_group), for labels without one OTHER_GROUP. A plan's allocations add up to
+    what its targets want, unless the minimums alone are more or all its labels together have less.
+    `missing`: rows that the label lacks for its target or minimum; `short`: there are some. `passed`:
+    what was handed on to others, of which `unmet` (rounded up) found no taker. The windows run within a
+    plan, which has one row per category.
     """
     t = targets.select(
         "plan_id",
@@ -76,19 +78,23 @@ def allocate(targets: DataFrame, available: DataFrame, tree: DataFrame) -> DataF
     t = t.withColumns({"category_group": F.coalesce("category_group", F.lit(OTHER_GROUP)), "available": F.coalesce("available", F.lit(0)).cast("bigint")})
     plan, group = ["plan_id"], ["plan_id", "category_group"]
     over_plan, over_group = Window.partitionBy(*plan), Window.partitionBy(*group)
-    # What minimums add to the sample is taken from categories that want more than their minimum.
-    added = F.sum(F.greatest(F.col("minimum") - F.col("wanted"), F.lit(0))).over(over_plan)
-    t = _filled(t, plan, added, F.greatest(F.col("wanted") - F.col("minimum"), F.lit(0)), F.col("share"), "_taken")
-    t = t.withColumn("quota", F.greatest("wanted", "minimum") - F.col("_taken"))
-    t = t.withColumn("_own", F.least("quota", "available"))
-    t = t.withColumn("_lack", F.sum(F.col("quota") - F.col("_own")).over(over_group))
-    t = _filled(t, group, F.col("_lack"), F.col("available") - F.col("_own"), F.col("share"), "_siblings")
-    t = t.withColumn("_lack", F.sum(F.col("quota") - F.col("_own") - F.col("_siblings")).over(over_plan))
-    t = _filled(t, plan, F.col("_lack"), F.col("available") - F.col("_own") - F.col("_siblings"), F.col("share"), "_cousins")
-    passed = F.sum(F.col("_siblings") + F.col("_cousins")).over(over_plan)
-    lacking = F.sum(F.col("quota") - F.col("_own")).over(over_plan)
-    own_lack = F.col("quota") - F.col("_own")
-    nobody = F.when(lacking > 0, F.ceil(own_lack * (lacking - passed) / lacking)).otherwise(F.lit(0)).cast("bigint")
+    none = F.lit(0).cast("bigint")
+    share = F.col("share")
+    # What a label can give of its target and its minimum; what minimums add is taken from labels above theirs.
+    t = t.withColumn("_keep", F.least("minimum", "available"))
+    t = t.withColumn("_own", F.greatest(F.least("wanted", "available"), "_keep"))
+    added = F.greatest(F.sum(F.col("_own") - F.col("wanted")).over(over_plan), none)
+    t = _filled(t, plan, added, F.col("_own") - F.col("_keep"), share, "_taken")
+    t = t.withColumn("_lack", F.greatest(F.col("wanted") - F.col("_own"), none)).withColumn("_own", F.col("_own") - F.col("_taken"))
+    # What is lacking is handed on, less what minimums have filled already.
+    open_ = F.greatest(F.sum(F.col("wanted") - F.col("_own")).over(over_plan), none)
+    t = _filled(t, plan, open_, F.col("_lack"), F.col("_lack").cast("double"), "passed")
+    t = _filled(t, group, F.sum("passed").over(over_group), F.col("available") - F.col("_own"), share, "_siblings")
+    rest = F.sum(F.col("passed") - F.col("_siblings")).over(over_plan)
+    t = _filled(t, plan, rest, F.col("available") - F.col("_own") - F.col("_siblings"), share, "_cousins")
+    handed = F.sum("passed").over(over_plan)
+    left = handed - F.sum(F.col("_siblings") + F.col("_cousins")).over(over_plan)
+    missing = F.greatest(F.greatest("wanted", "minimum") - F.col("available"), none)
     return t.select(
         "plan_id",
         "label",
@@ -97,8 +103,10 @@ def allocate(targets: DataFrame, available: DataFrame, tree: DataFrame) -> DataF
         "minimum",
         "available",
         (F.col("_own") + F.col("_siblings") + F.col("_cousins")).alias("allocated"),
-        F.greatest(nobody, F.col("minimum") - F.col("available"), F.lit(0)).cast("bigint").alias("unmet"),
-        ((F.col("available") < F.col("wanted")) | (F.col("available") < F.col("minimum"))).alias("short"),
+        missing.alias("missing"),
+        "passed",
+        F.when(handed > 0, F.ceil(F.col("passed") * left / handed)).otherwise(none).cast("bigint").alias("unmet"),
+        (missing > 0).alias("short"),
     )
 
 

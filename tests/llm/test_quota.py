@@ -1,4 +1,5 @@
 import collections
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,7 +48,31 @@ def test_minimums_are_kept_at_the_cost_of_others(spark):
     got = allocated(spark, [(1, 100, "a", 0.98, None), (1, 100, "c", 0.01, 10), (1, 100, "d", 0.01, 1)], [("a", 500), ("c", 500), ("d", 500)], TREE)
     assert [got[1, x]["allocated"] for x in "acd"] == [89, 10, 1]
     more = allocated(spark, [(1, 10, "a", 1.0, 20)], [("a", 15)], TREE)
-    assert more[1, "a"]["allocated"] == 15 and more[1, "a"]["short"] and more[1, "a"]["unmet"] == 5
+    assert more[1, "a"]["allocated"] == 15 and more[1, "a"]["short"] and more[1, "a"]["missing"] == 5
+
+
+def test_minimums_fill_what_others_lack(spark):
+    got = allocated(spark, [(1, 100, "a", 0.9, None), (1, 100, "b", 0.05, None), (1, 100, "c", 0.05, 30)], [("a", 50), ("b", 500), ("c", 500)], TREE)
+    assert [got[1, x]["allocated"] for x in "abc"] == [50, 20, 30]
+    assert [got[1, x]["passed"] for x in "abc"] == [15, 0, 0]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_any_plan_adds_up(spark, seed):
+    r = random.Random(seed)
+    targets, have, tree = [], {f"l{i}": r.choice([0, 3, 40, 1000]) for i in range(30)}, [(f"l{i}", f"g{i % 5}") for i in range(25)]
+    for plan in range(6):
+        labels = r.sample(sorted(have), r.randrange(1, 20))
+        weights = [r.random() ** 4 for _ in labels]
+        targets += [(plan, 500, x, w / sum(weights), r.choice([None, 0, 2, 50])) for x, w in zip(labels, weights)]
+    got = allocated(spark, targets, list(have.items()), tree)
+    for plan in range(6):
+        own = [x for (p, _), x in got.items() if p == plan]
+        want, keep, room = (sum(f(x) for x in own) for f in (lambda x: x["wanted"], lambda x: min(x["minimum"], x["available"]), lambda x: x["available"]))
+        assert sum(x["allocated"] for x in own) == min(max(want, keep), room)
+        for x in own:
+            assert min(x["minimum"], x["available"]) <= x["allocated"] <= x["available"]
+            assert x["short"] == (x["available"] < x["wanted"] or x["available"] < x["minimum"]) == (x["missing"] > 0)
 
 
 def test_nulls_and_nothing(spark):
