@@ -112,6 +112,16 @@ def _manifest_order(spark: SparkSession, sf: str) -> DataFrame:
     return ordering.with_position(rows, ["sha256", "item_id"])
 
 
+def _label_order(spark: SparkSession, sf: str) -> DataFrame:
+    return ordering.with_position(_label_counts(spark, sf), ["label"])
+
+
+def _manifest_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """(manifest_id, document): every manifest as JSON, nulls written."""
+    document = F.to_json(F.struct("schema_version", "items"), {"ignoreNullFields": "false"})
+    return table(spark, sf, "manifests").select("manifest_id", document.alias("document"))
+
+
 def _stream_label_counts(spark: SparkSession, sf: str) -> DataFrame:
     return stream_counts.label_counts_of_stream(spark, f"{sf}/items.parquet")
 
@@ -154,6 +164,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "manifest_items": _manifest_items,
     "manifest_summary": _manifest_summary,
     "manifest_order": _manifest_order,
+    "label_order": _label_order,
+    "manifest_documents": _manifest_documents,
     "stream_label_counts": _stream_label_counts,
     "p3_found": _p3_found,
     "p3_label_totals": _p3_totals,
@@ -198,6 +210,8 @@ WHERE NOT EXISTS (SELECT 1 FROM items i WHERE i.sha256 = r.sha256)""",
     "manifest_summary": f"""WITH l AS (SELECT manifest_id, {_KEY} AS k, count(*) AS n, sum(size) AS b FROM ({_MANIFEST_ITEMS}) GROUP BY 1, 2)
 SELECT manifest_id, sum(n)::bigint AS items, coalesce(sum(b), 0)::decimal(38,0) AS bytes, {_LABELS} AS labels FROM l GROUP BY 1""",
     "manifest_order": "SELECT item_id, sha256, row_number() OVER (ORDER BY sha256 NULLS FIRST, item_id) - 1 AS position FROM items",
+    "label_order": f"SELECT label, items, row_number() OVER (ORDER BY label) - 1 AS position FROM (SELECT {_KEY} AS label, count(*) AS items FROM items GROUP BY 1)",
+    "manifest_documents": "SELECT manifest_id, to_json({'schema_version': schema_version, 'items': items})::varchar AS document FROM manifests",
     "stream_label_counts": f"SELECT {_KEY} AS label, count(*) AS items FROM items GROUP BY 1",
     "p3_found": f"""SELECT label FROM (SELECT {_KEY} AS label, count(*) AS n FROM import_requests GROUP BY 1)
 WHERE n >= 0.05 * (SELECT count(*) FROM import_requests)""",
