@@ -11,7 +11,7 @@ letters or digits, after characters that look the same, case, entities and marku
 everything else is a gap without meaning.
 
 Null and empty texts and items, and items without words, hold nothing. Repeated texts are reported for
-each of their rows. A text longer than a shard is a shard of its own. Items that share a passage are all
+each of their rows. A text longer than a shard is searched in pieces that overlap by a phrase. Items that share a passage are all
 reported. Items are broadcast in blocks of a bounded size, with one pass over the corpus per block.
 """
 
@@ -308,8 +308,11 @@ class Shard:
         self.size = 0
 
     def add(self, text: str) -> None:
+        self.add_words(words(text))
+
+    def add_words(self, text: list[str]) -> None:
         numbers = self.numbers
-        own = [numbers.setdefault(w, len(numbers) + 2) for w in words(text)]
+        own = [numbers.setdefault(w, len(numbers) + 2) for w in text]
         self.starts.append(self.size)
         self.parts.append(np.array([*own, 1], np.int64))
         self.size += len(own) + 1
@@ -371,23 +374,35 @@ def find_leaks(
     out = None
     for block in _blocks(sought_items, block_items):
         shared = documents.sparkSession.sparkContext.broadcast(Phrases.of(block, phrase))
-        found = corpus.mapInArrow(_search(shared, shard_words, schema), schema)
+        found = corpus.mapInArrow(_search(shared, phrase, shard_words, schema), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(shared: object, shard_words: int, schema: T.StructType) -> object:
-    def flush(shard: Shard, held: list[tuple[object, str]], arrow: pa.Schema) -> pa.RecordBatch:
-        rows: list[tuple] = []
+def _search(shared: object, phrase: int, shard_words: int, schema: T.StructType) -> object:
+    Found = dict[tuple[int, int], list[tuple[int, int]]]
+
+    def rows(found: Found, held: list[tuple[object, str]], arrow: pa.Schema) -> pa.RecordBatch:
+        out: list[tuple] = []
         places: dict[int, Places] = {}
-        for (t, item), spans in shard.find(shared.value).items():
+        for (t, item), spans in found.items():
             if t not in places:
                 places[t] = Places(held[t][1])
             joined = [places[t].span(a, b) for a, b in merged(spans)]
-            rows.append((held[t][0], item, [{"start": a, "end": b} for a, b in joined]))
-        columns = list(zip(*rows)) if rows else [[] for _ in arrow]
+            out.append((held[t][0], item, [{"start": a, "end": b} for a, b in joined]))
+        columns = list(zip(*out)) if out else [[] for _ in arrow]
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], names=arrow.names)
 
+    def in_pieces(text: list[str]) -> Found:
+        """A text longer than a shard: pieces that overlap by a phrase less one word."""
+        found: Found = defaultdict(list)
+        for start in range(0, len(text), shard_words):
+            piece = Shard()
+            piece.add_words(text[start : start + shard_words + phrase - 1])
+            for (_, item), spans in piece.find(shared.value).items():
+                found[0, item] += [(start + a, start + b) for a, b in spans]
+        return found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -395,12 +410,16 @@ def _search(shared: object, shard_words: int, schema: T.StructType) -> object:
         shard, held = Shard(), []
         for batch in batches:
             for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                shard.add(content)
+                text = words(content)
+                if len(text) > shard_words:
+                    yield rows(in_pieces(text), [(key, content)], arrow)
+                    continue
+                shard.add_words(text)
                 held.append((key, content))
                 if shard.size >= shard_words:
-                    yield flush(shard, held, arrow)
+                    yield rows(shard.find(shared.value), held, arrow)
                     shard, held = Shard(), []
         if held:
-            yield flush(shard, held, arrow)
+            yield rows(shard.find(shared.value), held, arrow)
 
     return run

@@ -117,7 +117,7 @@ def test_equals_brute_force(spark, seed):
             runs = [q[k : k + n] for k in range(max(1, len(q) - n + 1))]
             if any(w[k : k + len(run)] == run for run in runs for k in range(len(w))):
                 want.add((d, i))
-    for more in ({}, {"shard_words": 30}, {"block_items": 5}):
+    for more in ({}, {"shard_words": 30}, {"shard_words": 7}, {"block_items": 5}):
         rows = found(docs, items, spark, phrase=n, **more)
         assert {(x["doc_id"], x["item_id"]) for x in rows} == want
         for x in rows:
