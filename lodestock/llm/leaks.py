@@ -36,6 +36,7 @@ PHRASE = 12
 SHARD_WORDS = 400_000
 SAMPLE = 32
 BLOCK_ITEMS = 20_000
+BLOCK_CHARS = 20_000_000
 LOCATED_AT_ONCE = 500_000
 
 # Markup of forum posts. What a tag shows is kept, its name and address are not.
@@ -345,9 +346,9 @@ class Shard:
 
 
 def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks small enough to broadcast."""
-    count = items.count()
-    blocks = max(1, -(-count // limit))
+    """The items in blocks small enough to broadcast, by rows and by characters."""
+    count, chars = items.agg(F.count("*"), F.sum(F.length(items.columns[1]))).first()
+    blocks = max(1, -(-count // limit), -(-(chars or 0) // BLOCK_CHARS))
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64(items.columns[0]), F.lit(blocks)) == b)
         yield [tuple(r) for r in own.collect()]
