@@ -11,8 +11,8 @@ Only keys with more than chunk_rows rows need numbers, so only their offsets are
 offsets is broadcast behind a check of its size and shuffled beyond it.
 
 Nulls form a key of their own. Repeated rows and ties count as separate rows. An empty table gives no
-chunks. Columns of the input keep their names; the operator's own begin with `_hk_`, and an input
-that has such a column is refused.
+chunks. Columns of the input keep their names and order, whatever they are; one named `_hk_chunk` is
+replaced by the operator's.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestock.operators.columns import by_place, others, place
 from lodestock.session import cut, fits
 
-PREFIX = "_hk_"
 BROADCAST_ROWS = 200_000
 SPLITS_SETTING = "spark.sql.files.minPartitionNum"
 
@@ -82,11 +82,16 @@ def number_rows(df: DataFrame, key: str, chunk_rows: int, stable_scan: bool = Fa
     just then counts too, so their number is fixed for the session's scans); any other input is first
     written to the shared checkpoint folder.
     """
-    if clash := [c for c in df.columns if c.startswith(PREFIX)]:
-        raise ValueError(f"columns {clash} clash with the operator's own")
     if chunk_rows < 1:
         raise ValueError("chunk_rows must be at least 1")
-    source = _with_fixed_splits(df) if stable_scan else cut(df)
+    at = f"c{place(df, key)}"
+    kept = others(df, ["_hk_chunk"])
+    source = by_place(_with_fixed_splits(df) if stable_scan else cut(df)).select(*[f"c{i}" for i in kept])
+    return _number(source, at, chunk_rows).toDF(*[df.columns[i] for i in kept], "_hk_chunk")
+
+
+def _number(source: DataFrame, key: str, chunk_rows: int) -> DataFrame:
+    """source, whose columns are named by their places, with `_hk_chunk`."""
     counts = partition_counts(source.select(key), key)
     totals = counts.groupBy(key).agg(F.sum("_hk_rows").alias("_hk_total"))
     hot = totals.where(F.col("_hk_total") > chunk_rows).select(F.col(key).alias("_hk_key"))
@@ -101,7 +106,7 @@ def number_rows(df: DataFrame, key: str, chunk_rows: int, stable_scan: bool = Fa
     if not fits(offsets, BROADCAST_ROWS):
         # The join moves rows to other tasks: a local number must be fixed before it.
         placed = placed.withColumn("_hk_row", F.monotonically_increasing_id())
-        return _number_after_shuffle(placed, offsets, key, chunk_rows).select(*df.columns, "_hk_chunk")
+        return _number_after_shuffle(placed, offsets, key, chunk_rows).select(*source.columns, "_hk_chunk")
     joined = placed.join(
         F.broadcast(offsets),
         F.col(key).eqNullSafe(F.col("_hk_key")) & (F.col("_hk_part") == F.col("_hk_at")),
@@ -111,7 +116,7 @@ def number_rows(df: DataFrame, key: str, chunk_rows: int, stable_scan: bool = Fa
     return (
         joined.mapInArrow(_number_batches(key), schema)
         .withColumn("_hk_chunk", F.expr(f"_hk_number div {chunk_rows}"))
-        .select(*df.columns, "_hk_chunk")
+        .select(*source.columns, "_hk_chunk")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestock.operators.columns import by_place, others, place
 from lodestock.session import cut
 
 
@@ -12,10 +13,11 @@ def with_position(df: DataFrame, by: list[str]) -> DataFrame:
     """df with `position` (bigint, from 0): each row's place in the ascending order of `by`, nulls
     first. Rows equal in all of `by` get neighbouring places in no particular order; make `by` unique
     where that matters. An empty table gives no rows. No task sorts more than its range: rows are
-    sorted within ranges, and each range starts where the ranges before it end."""
-    if "position" in df.columns or "_range" in df.columns or "_row" in df.columns:
-        raise ValueError("columns position, _range and _row are the operator's own")
-    ranges = cut(df.repartitionByRange(*by).sortWithinPartitions(*by))
+    sorted within ranges, and each range starts where the ranges before it end. A column of the input
+    named `position` is replaced."""
+    order = [f"c{place(df, b)}" for b in by]
+    kept = others(df, ["position"])
+    ranges = cut(by_place(df).repartitionByRange(*order).sortWithinPartitions(*order))
     # Partition number in the upper bits, place within the partition in the lower 33.
     placed = ranges.withColumn("_row", F.monotonically_increasing_id()).withColumn("_range", F.spark_partition_id())
     sizes = placed.groupBy("_range").agg(F.count("*").alias("n")).collect()  # one number per range
@@ -27,5 +29,6 @@ def with_position(df: DataFrame, by: list[str]) -> DataFrame:
     return (
         placed.join(F.broadcast(start), "_range")
         .withColumn("position", F.col("_start") + F.col("_row").bitwiseAND((1 << 33) - 1))
-        .select(*df.columns, "position")
+        .select(*[f"c{i}" for i in kept], "position")
+        .toDF(*[df.columns[i] for i in kept], "position")
     )

@@ -68,12 +68,10 @@ def test_boundary_states_merge_in_order(spark):
     assert got == want
 
 
-def test_empty_and_clashing_input(spark):
+def test_empty_input(spark):
     empty = rows(spark).where("false")
     assert hotkeys.number_rows(empty, "key", 5).count() == 0
     assert hotkeys.heavy_keys(empty.groupBy("key").agg(F.count("*").alias("n")), "n", 0.1).count() == 0
-    with pytest.raises(ValueError):
-        hotkeys.number_rows(empty.withColumn("_hk_chunk", F.lit(1)), "key", 5)
     with pytest.raises(ValueError):
         hotkeys.number_rows(empty, "key", 0)
 
@@ -90,3 +88,19 @@ def test_positions(spark):
     order = [(r["v"] is not None, r["v"] or 0, r["id"]) for r in got]
     assert order == sorted(order)
     assert with_position(df.where("false"), ["v"]).count() == 0
+
+
+@pytest.mark.parametrize("limit", [hotkeys.BROADCAST_ROWS, 0])
+def test_clashing_columns(spark, monkeypatch, limit):
+    monkeypatch.setattr(hotkeys, "BROADCAST_ROWS", limit)
+    plain = rows(spark)
+    odd = plain.toDF("KEY", "key", "_hk_offset").withColumn("_hk_chunk", F.lit("mine"))
+    got = hotkeys.number_rows(odd, "key", 64, stable_scan=True)
+    assert got.columns == ["KEY", "key", "_hk_offset", "_hk_chunk"]
+    want = counted(hotkeys.number_rows(plain, "key", 64, stable_scan=True))
+    assert collections.Counter((r[1], r[3]) for r in got.collect()) == want
+    twice = plain.toDF("key", "v", "key")
+    assert hotkeys.number_rows(twice, "key", 64).columns == ["key", "v", "key", "_hk_chunk"]
+    placed = with_position(plain.toDF("position", "key", "Key"), ["Key"])
+    assert placed.columns == ["key", "Key", "position"]
+    assert sorted(r[2] for r in placed.collect()) == list(range(1000))
