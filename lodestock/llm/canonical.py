@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestock.llm.glyphs import bare
+from lodestock.operators.columns import by_place, others, pick, place
 from lodestock.session import cut, fits
 
 MISS = -1
+OWN = ("class_id", "cost", "exact")
 BROADCAST_ENTRIES = 5_000
 # Words that say nothing of what is shown: added around a label by people and programs.
 FILLERS = frozenset("a an the my our of photo photos picture pic image img label copy checked side view version final new old".split())
@@ -238,11 +240,18 @@ def canonicalise(
     """rows with `class_id` (int; MISS where no entry is meant), `cost` (double, null for a miss) and
     `exact` (boolean: the value is letter for letter a class_name).
 
-    Only rows with a non-empty value come out.
+    Only rows with a non-empty value come out. Columns of the input with these names are replaced.
     reference: (class_id, class_name, aliases array<string>).
     """
-    if clash := {"class_id", "cost", "exact"} & set(rows.columns):
-        raise ValueError(f"columns {sorted(clash)} clash with the operator's own")
+    kept = others(rows, OWN)
+    at = place(rows, value)
+    placed = by_place(rows).select(*[f"c{i}" for i in kept], *[f"c{at}"] * (at not in kept))
+    mapped = _mapped(placed, f"c{at}", pick(reference, "class_id", "class_name", "aliases"), weights, broadcast_entries)
+    return mapped.select(*[f"c{i}" for i in kept], *OWN).toDF(*[rows.columns[i] for i in kept], *OWN)
+
+
+def _mapped(rows: DataFrame, value: str, reference: DataFrame, weights: Weights, broadcast_entries: int) -> DataFrame:
+    """canonicalise() of rows whose columns are named by their places."""
     typed = rows.where(F.col(value).isNotNull() & (F.col(value) != ""))
     names = reference.select(F.col("class_name").alias("_name"), F.col("class_id").alias("_id"))
     small = fits(names, broadcast_entries)

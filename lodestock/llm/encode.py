@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodestock.operators.columns import by_place, others, place
+
 VOCABULARY = os.environ.get("LODESTOCK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -111,32 +113,27 @@ def _lists(each: list[list[int]]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter((i for x in each for i in x), np.int32, int(ends[-1]))))
 
 
-def encode(df: DataFrame, text: str, out: str = "ids", path: str = VOCABULARY) -> DataFrame:
-    """df with the ids of `text` in place of it, as `out` array<int>."""
-    if out in df.columns:
-        raise ValueError(f"the input has a column {out}")
-    source, kept = _encoder_source(df, path), [c for c in df.columns if c != text]
+def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, path: str, convert: Callable[[Encoder, list], pa.Array]) -> DataFrame:
+    """df with `out` in place of `column`; another column named `out` is replaced."""
+    source, at = _encoder_source(df, path), place(df, column)
+    kept = [i for i in others(df, [out]) if i != at]
+    placed = by_place(df).select(*[f"c{i}" for i in kept], f"c{at}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = source()
         for batch in batches:
-            ids = _lists([encoder.encode(t) for t in batch.column(text).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], names=[*kept, out])
+            done = convert(encoder, batch.column(len(kept)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], done], names=[*batch.schema.names[:-1], "out"])
 
-    fields = [df.schema[c] for c in kept]
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    fields = placed.schema.fields[:-1]
+    return placed.mapInArrow(run, T.StructType([*fields, T.StructField("out", kind)])).toDF(*[df.columns[i] for i in kept], out)
 
 
-def decode(df: DataFrame, ids: str, out: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """df with the text of `ids` in place of it; null ids give an empty text."""
-    if out in df.columns:
-        raise ValueError(f"the input has a column {out}")
-    source, kept = _encoder_source(df, path), [c for c in df.columns if c != ids]
+def encode(df: DataFrame, text: str, out: str = "ids", path: str = VOCABULARY) -> DataFrame:
+    """df with the ids of `text` in place of it, as `out` array<int>, at the end."""
+    return _mapped(df, text, out, T.ArrayType(T.IntegerType()), path, lambda e, texts: _lists([e.encode(t) for t in texts]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = source()
-        for batch in batches:
-            texts = pa.array([encoder.decode(i or []) for i in batch.column(ids).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), texts], names=[*kept, out])
 
-    return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], T.StructField(out, T.StringType())]))
+def decode(df: DataFrame, ids: str, out: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """df with the text of `ids` in place of it, as `out`, at the end; null ids give an empty text."""
+    return _mapped(df, ids, out, T.StringType(), path, lambda e, lists: pa.array([e.decode(i or []) for i in lists], pa.string()))

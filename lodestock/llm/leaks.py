@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestock.llm.glyphs import HIDDEN, match_fold, shows, tidy, to_latin
+from lodestock.operators.columns import pick
 
 PHRASE = 12
 SHARD_WORDS = 400_000
@@ -367,6 +368,7 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, spans array<struct<start, end>>): each text with each item that leaked into it,
     and the characters of the text to remove, in order and without overlap."""
+    documents, items = pick(documents, doc_id, text), pick(items, item_id, item_text)
     kinds = (documents.schema[doc_id].dataType, items.schema[item_id].dataType)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([T.StructField("doc_id", kinds[0]), T.StructField("item_id", kinds[1]), T.StructField("spans", span)])

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestock.llm.glyphs import LOOK_ALIKES, tidy, to_latin
+from lodestock.operators.columns import pick
 from lodestock.session import cut, fits
 
 BROADCAST_TOKENS = 200_000
@@ -164,8 +165,8 @@ def repairs_of(df: DataFrame, text: str) -> DataFrame:
 
 def forms(df: DataFrame, key: str, text: str, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """(key, text, form, repaired): `repaired` counts the tokens that the vocabulary confirmed."""
+    df = base = pick(df, key, text)
     repairs = cut(repairs_of(df, text))
-    base = df.select(key, text)
     fields = [base.schema[key], base.schema[text], T.StructField("form", T.StringType()), T.StructField("repaired", T.IntegerType())]
     schema = T.StructType(fields)
     if fits(repairs, broadcast_tokens):

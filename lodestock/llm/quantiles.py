@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodestock.operators.columns import pick
+
 SIZE = 800
 SHRINK = 2 / 3
 LEAST = 8
@@ -133,6 +135,7 @@ def _emit(held: list[tuple[tuple, Sketch]], schema: pa.Schema, step: int = 5_000
 def sketch_groups(df: DataFrame, keys: list[str], value: str, size: int = SIZE, seed: int = 7) -> DataFrame:
     """(keys..., state...): one sketch per group. Each task reduces its rows to sketches first, so a hot
     group moves as one sketch per task; those are merged after one exchange."""
+    df = pick(df, *keys, value)
     fields = [df.schema[k] for k in keys]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

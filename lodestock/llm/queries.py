@@ -46,7 +46,7 @@ def _p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def _p2_sample(spark: SparkSession, sf: str) -> DataFrame:
     """(plan_id, label, item_id): the samples of all plans."""
-    return quota.draw(table(spark, sf, "items"), fn.label_key("label"), _allocation(spark, sf), "item_id")
+    return quota.draw(table(spark, sf, "items"), "label", _allocation(spark, sf), "item_id")
 
 
 def _p4_percentiles(spark: SparkSession, sf: str) -> DataFrame:

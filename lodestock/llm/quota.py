@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestock.functions import label_key
+from lodestock.operators.columns import pick
 from lodestock.session import broadcast_if_small, cut
 
 EXACT = "decimal(38,12)"
@@ -67,13 +69,14 @@ def allocate(targets: DataFrame, available: DataFrame, tree: DataFrame) -> DataF
     what was handed on to others, of which `unmet` (rounded up) found no taker. The windows run within a
     plan, which has one row per category.
     """
-    t = targets.select(
+    t = pick(targets, "plan_id", "sample_size", "label", "target_share", "min_items").select(
         "plan_id",
         "label",
         F.coalesce("target_share", F.lit(0.0)).alias("share"),
         F.round(F.coalesce(F.col("target_share") * F.col("sample_size"), F.lit(0.0))).cast("bigint").alias("wanted"),
         F.greatest(F.coalesce("min_items", F.lit(0)), F.lit(0)).cast("bigint").alias("minimum"),
     )
+    tree, available = pick(tree, "label", "category_group"), pick(available, "label", "available")
     t = t.join(broadcast_if_small(tree, TARGET_ROWS), "label", "left").join(available, "label", "left")
     t = t.withColumns({"category_group": F.coalesce("category_group", F.lit(OTHER_GROUP)), "available": F.coalesce("available", F.lit(0)).cast("bigint")})
     plan, group = ["plan_id"], ["plan_id", "category_group"]
@@ -110,11 +113,12 @@ def allocate(targets: DataFrame, available: DataFrame, tree: DataFrame) -> DataF
     )
 
 
-def draw(items: DataFrame, label: Column, allocation: DataFrame, key: str, seed: int = 11) -> DataFrame:
+def draw(items: DataFrame, label: str, allocation: DataFrame, key: str, seed: int = 11) -> DataFrame:
     """(plan_id, label, key): for each target, `allocated` rows of its label, by the lowest ranks in a
     pseudo-random order of its own plan. items: any columns; `key` names the rows."""
+    items = pick(items, label, key).toDF("_l", "_k")
     asked = cut(allocation.where("allocated > 0").select("plan_id", F.col("label").alias("_label"), F.col("allocated").alias("_need")))
-    rows = items.select(label.alias("label"), F.col(key).alias("_key"))
+    rows = items.select(label_key("_l").alias("label"), F.col("_k").alias("_key"))
     small = broadcast_if_small(asked, TARGET_ROWS)
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "plan_id", "_key"), 1)
 

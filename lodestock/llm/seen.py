@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestock.operators.columns import pick
+
 FINGERPRINT_BITS = 16
 GENERATIONS = 8
 SHARD_KEYS = 500_000
@@ -131,12 +133,13 @@ def probe_generations(history: list[DataFrame], rows: DataFrame, key: str, order
     order). `first` is the key's least order in the batch (null in generation 0), `maybe` what the
     filters of the earlier batches say, `earlier` the exact answer for the check that follows.
     """
+    rows = pick(rows, key, order)
     ends = rows.agg(F.min(order), F.max(order)).first()
     least, most = (0, 0) if ends[0] is None else (ends[0], ends[1])
     of = generation_of(F.col(order), least, most, generations)
     current = rows.where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(key, F.col(order).cast("bigint").alias("_o"), of.alias("_g"))
     for old in history:
-        sealed = old.where(F.col(key).isNotNull()).select(key, F.lit(None).cast("bigint").alias("_o"), F.lit(0).alias("_g"))
+        sealed = pick(old, key).where(F.col(key).isNotNull()).select(key, F.lit(None).cast("bigint").alias("_o"), F.lit(0).alias("_g"))
         current = current.unionByName(sealed)
     firsts = [F.min(F.when(F.col("_g") == g, F.col("_o"))).alias(f"_{g}") for g in range(1, generations + 1)]
     # One exchange, by the key alone: a key's batches meet in one task as one row.
@@ -188,7 +191,7 @@ def first_orders(probed: DataFrame) -> DataFrame:
 
 def seen(rows: DataFrame, key: str, order: str, new: DataFrame) -> DataFrame:
     """(order) of the rows with a key that isn't new. Joined by the order, which no key makes hot."""
-    asked = rows.where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(order)
+    asked = pick(rows, key, order).where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(order)
     return asked.join(new, F.col(order) == F.col("first"), "left_anti")
 
 
@@ -226,7 +229,7 @@ SEALED = "shard int, generation int, keys bigint, seed int, slots binary"
 def seal(keys: DataFrame, key: str, generation: int, shards: int) -> DataFrame:
     """(shard, generation, keys, seed, slots): the filters of one batch, one row per shard, for keeping
     as a table. Choose `shards` once, so that each holds about SHARD_KEYS keys a batch."""
-    hashed = keys.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h")).distinct()
+    hashed = pick(keys, key).where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h")).distinct()
     placed = hashed.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,10 +258,9 @@ def probe(batch: DataFrame, key: str, filters: DataFrame, shards: int) -> DataFr
     """(h, maybe, filters): for each distinct key of the batch, by its xxhash64, whether some sealed
     filter may know it, and how many filters were asked (for compound_rate). A shard's filters come
     first in its task and its keys after them."""
-    hashed = batch.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h")).distinct()
-    asked = hashed.select(
-        F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("kind"), "h", F.lit(0).alias("seed"), F.lit(0).cast("bigint").alias("keys"), F.lit(None).cast("binary").alias("slots")
-    )
+    hashed = pick(batch, key).where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h")).distinct()
+    nothing = [F.lit(0).alias("seed"), F.lit(0).cast("bigint").alias("keys"), F.lit(None).cast("binary").alias("slots")]
+    asked = hashed.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("kind"), "h", *nothing)
     held = filters.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("h"), "seed", "keys", "slots")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lodestock.llm import canonical as c
 
@@ -99,5 +100,13 @@ def test_empty_tables(spark):
     assert c.canonicalise(rows.where("false"), "label", reference).count() == 0
     none = c.canonicalise(rows, "label", reference.where("false"))
     assert {r["class_id"] for r in none.collect()} == {c.MISS}
-    with pytest.raises(ValueError):
-        c.canonicalise(rows.withColumnRenamed("seq", "cost"), "label", reference)
+
+
+def test_clashing_columns(spark):
+    rows, reference = frames(spark)
+    want = sorted(tuple(r)[1:] for r in c.canonicalise(rows, "label", reference).select("seq", "label", "class_id", "cost").collect())
+    odd = rows.select(F.col("seq").alias("cost"), F.lit(1).alias("Label"), "label", F.lit(2).alias("_id"), F.lit(3).alias("k"), F.lit(4).alias("_id"))
+    for more in ({}, {"broadcast_entries": 0}):
+        got = c.canonicalise(odd, "label", reference.withColumn("LABEL", F.lit(0)).withColumn("frequency", F.lit("x")), **more)
+        assert got.columns == ["Label", "label", "_id", "k", "_id", "class_id", "cost", "exact"]
+        assert sorted((r[1], r[5], r[6]) for r in got.collect()) == want

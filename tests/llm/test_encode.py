@@ -71,5 +71,6 @@ def test_frames(spark, encoder, monkeypatch):
     assert e.encode(df.where("false"), "text").count() == 0
     monkeypatch.setattr(e, "BROADCAST_BYTES", 1)
     assert {r["doc_id"]: r["ids"] for r in e.encode(df, "text").collect()} == got
-    with pytest.raises(ValueError):
-        e.encode(df, "text", "other")
+    odd = e.encode(df.toDF("ids", "text", "TEXT"), "text")
+    assert odd.columns == ["TEXT", "ids"] and odd.count() == len(got)
+    assert e.encode(df, "text", "other").columns == ["doc_id", "other"]

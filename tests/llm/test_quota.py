@@ -86,27 +86,27 @@ def test_draw_has_the_allocated_sizes(spark, monkeypatch, ranked):
     monkeypatch.setattr(quota, "RANKED_ROWS", ranked)
     items = spark.range(5000).select(F.col("id").alias("item_id"), F.when(F.col("id") % 4 < 3, "hot").otherwise(F.concat(F.lit("l"), F.col("id") % 7)).alias("label"), F.lit(1).alias("plan_id"))
     asked = spark.createDataFrame([(1, "hot", 1234), (2, "hot", 3), (1, "l3", 50), (2, "l5", 0), (3, "hot", 3750)], "plan_id int, label string, allocated bigint")
-    drawn = quota.draw(items, F.col("label"), asked, "item_id").collect()
+    drawn = quota.draw(items, "label", asked, "item_id").collect()
     assert collections.Counter((r["plan_id"], r["label"]) for r in drawn) == {(1, "hot"): 1234, (2, "hot"): 3, (1, "l3"): 50, (3, "hot"): 3750}
     assert len({tuple(r) for r in drawn}) == len(drawn)
     held = dict(map(tuple, items.select("item_id", "label").collect()))
     assert all(held[r["item_id"]] == r["label"] for r in drawn)
-    again = quota.draw(items.repartition(5), F.col("label"), asked, "item_id").collect()
+    again = quota.draw(items.repartition(5), "label", asked, "item_id").collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, drawn))
 
 
 def test_draw_is_spread_over_the_rows(spark):
     items = spark.range(10000).select(F.col("id").alias("item_id"), F.lit("a").alias("label"))
     asked = spark.createDataFrame([(1, "a", 1000)], "plan_id int, label string, allocated bigint")
-    ids = [r["item_id"] for r in quota.draw(items, F.col("label"), asked, "item_id").collect()]
+    ids = [r["item_id"] for r in quota.draw(items, "label", asked, "item_id").collect()]
     assert all(60 <= c <= 140 for c in collections.Counter(i // 1000 for i in ids).values())
 
 
 def test_repeated_rows_and_nothing(spark):
     items = spark.createDataFrame([(1, "a")] * 10, "item_id bigint, label string")
     asked = spark.createDataFrame([(1, "a", 4)], "plan_id int, label string, allocated bigint")
-    assert quota.draw(items, F.col("label"), asked, "item_id").count() == 4
-    assert quota.draw(items.where("false"), F.col("label"), asked.where("false"), "item_id").count() == 0
+    assert quota.draw(items, "label", asked, "item_id").count() == 4
+    assert quota.draw(items.where("false"), "label", asked.where("false"), "item_id").count() == 0
 
 
 def test_samples_of_the_tables(spark, data):
