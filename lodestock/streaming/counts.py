@@ -20,10 +20,12 @@ def label_counts_of_stream(spark: SparkSession, path: str, state: str | None = N
     """
     state = state or f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
-    single = path.endswith(".parquet") and bool(spark.read.parquet(path).limit(1).inputFiles())
     reader = spark.readStream.schema(schema)
-    folder, _, name = path.rpartition("/")
-    stream = reader.option("pathGlobFilter", name).parquet(folder) if single and not _is_folder(spark, path) else reader.parquet(path)
+    if _is_folder(spark, path):
+        stream = reader.parquet(path)
+    else:  # streams read folders: take the one file in its folder
+        folder, _, name = path.rpartition("/")
+        stream = reader.option("pathGlobFilter", name).parquet(folder)
 
     def keep(batch: DataFrame, number: int) -> None:
         counted = batch.groupBy(label_key("label").alias("label")).agg(F.count("*").alias("n"))
