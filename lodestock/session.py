@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     defaults = {
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -31,6 +34,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="lodestock-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
     return named or sc.getCheckpointDir()
 
