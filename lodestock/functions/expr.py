@@ -48,9 +48,10 @@ def known_size(size: Column | str) -> Column:
 
 def digest_of(value: Column | str) -> Column:
     """The digest's 32 bytes, whatever the case of its digits and whatever stands around or between
-    them; null for a value that doesn't hold all 64. A plain digest skips the regular expression."""
+    them; null for a value that doesn't hold all 64. Letters or digits that touch the 64 leave open
+    which of them are meant ("sha256" directly before them, a 65th digit), so such a value holds none.
+    A value of 64 characters needs no regular expression, and a shorter one has no digest."""
     c = _col(value)
-    found = F.regexp_replace(F.regexp_extract(c, DIGEST_PATTERN, 1), "[^0-9a-fA-F]", "")
-    plain = (F.length(c) == 64) & c.rlike("^[0-9a-fA-F]{64}$")
-    text = F.when(plain, c).otherwise(found)
-    return F.unhex(F.when(F.length(text) == 64, text))
+    digits = F.regexp_replace(F.regexp_extract(c, DIGEST_PATTERN, 1), "[^0-9a-fA-F]", "")
+    found = F.unhex(F.when(F.length(digits) == 64, digits))
+    return F.when(F.length(c) == 64, F.unhex(c)).when(F.length(c) > 64, found)

@@ -46,5 +46,5 @@ def test_digest_of_any_writing(spark):
 
 
 def test_no_digest_in_damaged_values(spark):
-    bad = [None, "", "sha256:", "n/a", D[:63], D[:63] + "?", D[:31] + "…", D[:40], D + "0", "pending", D[:60] + "  ./img_1.jpg", "z" * 64]
+    bad = [None, "", "sha256:", "n/a", D[:63], D[:63] + "?", D[:31] + "…", D[:40], D + "0", "pending", D[:60] + "  ./img_1.jpg", "z" * 64, "sha256" + D, D + "x", "g" + D, "+" + D[:63], " " * 64, " " * 5000]
     assert values(spark, fn.digest_of, bad, "string") == [None] * len(bad)
