@@ -68,20 +68,32 @@ def _p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _p4_percentiles(spark, sf).select("scope", "label", "day", "n", "least", "most")
 
 
-def _probed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _answered(spark: SparkSession, sf: str, measure: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """The requests, the answers for their keys, and the number of shards. The tables known before the
+    first request are sealed, each as a table of filters, and only these are asked."""
     digest = fn.digest_of("sha256").alias("digest")
-    history = [table(spark, sf, t).select(digest) for t in ("starter_items", "items")]
-    rows = table(spark, sf, "import_requests").select("seq", digest)
-    return rows, seen.probe_generations(history, rows, "digest", "seq")
+    requests = table(spark, sf, "import_requests")
+    shards = seen.shards_for(spark, max(requests.count() // seen.GENERATIONS, table(spark, sf, "items").count()))
+    sealed = [seen.seal(table(spark, sf, t).select(digest), "digest", -i, shards) for i, t in enumerate(("starter_items", "items"))]
+    rows = requests.select("seq", digest)
+    return rows, seen.probe_batches(cut(sealed[0].unionByName(sealed[1])), rows, "digest", "seq", shards, measure=measure), shards
 
 
 def _p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows, probed = _probed(spark, sf)
-    return seen.seen(rows, "digest", "seq", seen.first_orders(probed)).select("seq")
+    rows, answered, _ = _answered(spark, sf)
+    return seen.seen(rows, "digest", "seq", answered).select("seq")
+
+
+def _p5_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """(new_keys, first): how many keys no filter and no earlier row of their batch knew, and the sum of
+    the orders at which they came first."""
+    new = _answered(spark, sf)[1].where(~F.col("known"))
+    return new.agg(F.count("*").alias("new_keys"), F.sum(F.col("first").cast("decimal(38,0)")).alias("first"))
 
 
 def _p5_error_rates(spark: SparkSession, sf: str) -> DataFrame:
-    return seen.error_rates(_probed(spark, sf)[1])
+    _, answered, shards = _answered(spark, sf, measure=True)
+    return seen.error_rates(answered, shards)
 
 
 def _p6_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_percentiles": _p4_percentiles,
     "p4_groups": _p4_groups,
     "p5_found": _p5_found,
+    "p5_keys": _p5_keys,
     "p5_error_rates": _p5_error_rates,
     "p6_ids": _p6_ids,
     "p6_round_trip": _p6_round_trip,
@@ -142,6 +155,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _KEY = "coalesce(nullif(label, ''), 'unlabeled')"
 _DIGEST = """regexp_replace(regexp_extract(lower(sha256), '(^|[^0-9a-z])(0x)?([0-9a-f]([^0-9a-z]*[0-9a-f]){63})([^0-9a-z]|$)', 3), '[^0-9a-f]', '', 'g')"""
+_FIRST = f"""known AS (SELECT {_DIGEST} AS d FROM items UNION SELECT {_DIGEST} FROM starter_items),
+r AS (SELECT seq, {_DIGEST} AS d FROM import_requests),
+f AS (SELECT d, min(seq) AS first FROM r WHERE d <> '' GROUP BY d)"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH a AS (SELECT {_KEY} AS label, count(*) AS n FROM items GROUP BY 1)
+SELECT t.plan_id, t.label FROM sample_targets t LEFT JOIN a USING (label)
+WHERE coalesce(n, 0) < round(coalesce(t.target_share * t.sample_size, 0)) OR coalesce(n, 0) < coalesce(t.min_items, 0)""",
+    "p4_groups": f"""WITH s AS (SELECT {_KEY} AS label, requested_at::date AS day, nullif(size, -1) AS size FROM import_requests)
+SELECT 'day' AS scope, label, day, count(*) AS n, min(size) AS least, max(size) AS most FROM s WHERE size IS NOT NULL GROUP BY label, day
+UNION ALL SELECT 'all', label, NULL, count(*), min(size), max(size) FROM s WHERE size IS NOT NULL GROUP BY label""",
+    "p5_found": f"""WITH {_FIRST}
+SELECT seq FROM r JOIN f USING (d) WHERE seq > first OR d IN (SELECT d FROM known)""",
+    "p5_keys": f"""WITH {_FIRST}
+SELECT count(*) AS new_keys, sum(first)::decimal(38,0) AS first FROM f WHERE d NOT IN (SELECT d FROM known)""",
+    "p6_round_trip": _p6_round_trip,
+    "p7_found": _p7_found,
+    "p7_spans": _p7_spans,
+    "p8_found": _p8_found,
+    "p8_forms": _p8_forms,
+}
+
+_KEY = "coalesce(nullif(label, ''), 'unlabeled')"
+_DIGEST = """regexp_replace(regexp_extract(lower(sha256), '(^|[^0-9a-z])(0x)?([0-9a-f]([^0-9a-z]*[0-9a-f]){63})([^0-9a-z]|$)', 3), '[^0-9a-f]', '', 'g')"""
+_FIRST = f"""known AS (SELECT {_DIGEST} AS d FROM items UNION SELECT {_DIGEST} FROM starter_items),
+r AS (SELECT seq, {_DIGEST} AS d FROM import_requests),
+f AS (SELECT d, min(seq) AS first FROM r WHERE d <> '' GROUP BY d)"""
 
 SQL: dict[str, str] = {
     "p2_found": f"""WITH a AS (SELECT {_KEY} AS label, count(*) AS n FROM items GROUP BY 1)

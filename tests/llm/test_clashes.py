@@ -30,9 +30,9 @@ def test_quantiles(spark):
 
 def test_seen(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a")], "seq bigint, key string")
-    clashing = odd(df, "_o", "_g", "KEY", "first", "generation")
-    probed = seen.probe_generations([odd(df.where("false"), "KEY", "_o")], clashing, "key", "seq")
-    assert [r["seq"] for r in seen.seen(clashing, "key", "seq", seen.first_orders(probed)).collect()] == [2]
+    clashing = odd(df, "o", "g", "KEY", "first", "generation", "h")
+    none = seen.seal(odd(df.where("false"), "KEY", "h"), "key", 0, 2)
+    assert [r["seq"] for r in seen.seen(clashing, "key", "seq", seen.probe_batches(none, clashing, "key", "seq", 2)).collect()] == [2]
     filters = seen.seal(clashing, "key", 1, 2)
     assert [r["maybe"] for r in seen.probe(clashing, "key", filters, 2).collect()] == [True]
 
