@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 import regex
@@ -86,6 +88,19 @@ _UNTIDY = regex.compile("[" + "".join(f"\\U{c:08x}" for c in [*_PLAIN, 0x200D, 0
 _LATIN = {ord(other): latin for other, latin in TO_LATIN.items()}
 
 
+def _class(codes: Iterable[int]) -> str:
+    return "".join(f"\\U{c:08x}" for c in codes)
+
+
+# Whatever tidy() or to_latin() may change, and some characters that they leave. For a quick look.
+_CHANGES = re.compile(f"[{_class([*_PLAIN, 0x200D, 0xFE0E, 0xFE0F])}\u00b5\u0251\u0261\u0300-\u058f\u1100-\u11ff\u1f00-\u1fff\u2c6d\ua7ac]")
+
+
+def changes(text: str) -> bool:
+    """Whether tidy() or to_latin() may change a text."""
+    return not text.isascii() and (_CHANGES.search(text) is not None or not unicodedata.is_normalized("NFC", text))
+
+
 def tidy(text: str) -> str:
     """Text without what is surely only another way to write it: characters that show nothing, letters
     and digits of full width, spaces that don't break, and accents as characters of their own. Look-

@@ -1,27 +1,31 @@
 """Problem 7: evaluation texts that leak into training texts.
 
 The corpus is cut into shards of bounded size, each within a task. A shard's texts become one sequence
-of word numbers, and that an FM-index: the Burrows-Wheeler transform of the sequence in a wavelet
-matrix, and every 32nd suffix position. A test phrase is searched backward, word by word, each step two
-ranks in the matrix; all phrases advance together. The rows found are located by walking to a sampled
-position, and the places of one item in one text are merged into spans for removal.
+of word numbers. Of these, the runs of words that occur in items, and that are as long as the shortest
+phrase, are put one after another with separators between; that becomes an FM-index: the Burrows-Wheeler
+transform in a wavelet matrix, and every 32nd suffix position. A test phrase is searched backward, word
+by word, each step two ranks in the matrix; all phrases advance together. The rows found are located by
+walking to a sampled position, and the places of one item in one text are merged into spans for removal.
 
 Phrases: every run of PHRASE words of an item, or the whole item if it's shorter. Words are runs of
 letters or digits, after characters that look the same, case, entities and markup are taken away;
-everything else is a gap without meaning.
+everything else is a gap without meaning. Markup, of any length: HTML tags and comments, BBCode,
+addresses of Markdown links, and templates in double braces. A tag of a name that HTML or BBCode doesn't
+have counts if it has an attribute with a value, or an end tag of its own in BBCode.
 
 Null and empty texts and items, and items without words, hold nothing. Repeated texts are reported for
-each of their rows. A text longer than a shard is searched in pieces that overlap by a phrase. Items that share a passage are all
-reported. Items are broadcast in blocks of a bounded size, with one pass over the corpus per block.
+each of their rows. A text longer than a shard is searched in pieces that overlap by a phrase. Items that
+share a passage are all reported. Items are broadcast in blocks of a bounded size, as word numbers; the
+texts are read once, whatever the number of blocks, and a task holds one block at a time.
 """
 
 from __future__ import annotations
 
 import html
+import re
 from bisect import bisect_right
-from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestock.llm.glyphs import HIDDEN, match_fold, shows, tidy, to_latin
+from lodestock.llm.glyphs import HIDDEN, changes, match_fold, shows, tidy, to_latin
 from lodestock.operators.columns import pick
 
 PHRASE = 12
@@ -38,46 +42,133 @@ SHARD_WORDS = 400_000
 SAMPLE = 32
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 20_000_000
+SEARCHED_AT_ONCE = 200_000
 LOCATED_AT_ONCE = 500_000
 
-# Markup of forum posts. What a tag shows is kept, its name and address are not.
-_DROPPED = regex.compile(
-    r"<!--.*?-->"
-    r"|\[img[^\]\n]{0,200}\][^\[\]\s]{0,400}\[/img\]"
-    r"|\[/?(?:attachment|quote|url|img|spoiler|code|list|font|center|left|right|table|tr|td|hr)(?:=[^\]\n]{0,400})?/?\]"
-    r"|</?(?:p|br|div|blockquote|a|img|ul|ol|li|hr|table|tr|td|th|h[1-6]|pre|code)(?:\s[^<>]{0,400})?\s?/?>"
-    r"|\{\{[^{}\n]{1,60}\}\}",
-    regex.I | regex.S,
+# The elements of HTML, past ones too.
+HTML = frozenset(
+    "a abbr acronym address applet area article aside audio b base basefont bdi bdo big blink blockquote body br button"
+    " canvas caption center cite code col colgroup data datalist dd del details dfn dialog dir div dl dt em embed fieldset"
+    " figcaption figure font footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html i iframe image img"
+    " input ins isindex kbd keygen label legend li link listing main map mark marquee menu menuitem meta meter nav nobr"
+    " noembed noframes noscript object ol optgroup option output p param picture plaintext pre progress q rb rp rt rtc"
+    " ruby s samp script search section select slot small source spacer span strike strong style sub summary sup svg"
+    " table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr xmp".split()
 )
-# Tags that may stand within a word: they leave no gap.
-_INLINE = regex.compile(
-    r"\[/?(?:b|i|u|s|size|color|sup|sub)(?:=[^\]\n]{0,60})?\]"
-    r"|</?(?:b|i|u|s|em|strong|span|font|sup|sub|small|big|tt|del|ins|mark)(?:\s[^<>]{0,400})?\s?/?>",
-    regex.I,
+# The tags of BBCode that forums share.
+BBCODE = frozenset(
+    "* align attach attachment audio b big br center code color colour email flash font h1 h2 h3 h4 h5 h6 hide hr i"
+    " image img indent justify left li list media mention ol p php post pre quote right s size small spoiler strike sub"
+    " sup table tbody td th thead thread topic tr tt u ul url user video youtube".split()
 )
-_ENTITY = regex.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});")
+# Tags that may stand within a word, so they leave no gap.
+INLINE = frozenset("abbr acronym b bdi bdo big cite color colour del dfn em font i ins kbd mark s samp size small span strike strong sub sup tt u var wbr".split())
+# BBCode whose content is an address or a number, not words.
+_ADDRESSED = "img|image|youtube|video|media|audio|flash|attachment|attach"
+
+_TAG = re.compile(r"""</?([A-Za-z][\w:.-]*+)(?:/?>|([\s/](?:(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>|[^<>]*+>)))""")
+_LINK = re.compile(r"""\[(?!/)[^\[\]]*+(\]\((?:[^()\s]|\([^()\s]*+\))*+(?:\s+"[^"\n]*+")?\s?\))""")
+_ADDRESS = re.compile(rf"\[({_ADDRESSED})(?:[=\s][^\[\]]*+)?\]\s?[^\[\]\s]*+\s?\[/\1\]", re.I)
+_BRACKET = re.compile(r"\[/?([A-Za-z][A-Za-z0-9]*+|\*)([=\s][^\[\]]*+)?/?\]")
+_CLOSED = re.compile(r"\[/([A-Za-z][A-Za-z0-9]*+)\]")
+_BRACES = re.compile(r"\{\{[^{}]*+\}\}")
+_ESCAPED = r"(?:(?:[aA][mM][pP]|#0*38|#[xX]0*26);)"
+_ENTITY = re.compile(rf"&{_ESCAPED}*+(?:#[0-9]++;|#[xX][0-9a-fA-F]++;|[a-zA-Z][a-zA-Z0-9]*+;)?")
+_AMPERSANDS = re.compile(rf"&{_ESCAPED}*")
+_MARKUP = re.compile(r"[&<\[{]")
 _ACCENTED = regex.compile(r"(?s).\p{M}+")
 _NOT_ASCII = regex.compile(r"[\p{L}--[a-zA-Z]][\p{L}\p{M}--[a-zA-Z]]*|[^\x00-\x7f]", regex.V1)
 _RUN = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
 
 
-def _unescape(text: str) -> str:
-    return _ENTITY.sub(lambda m: html.unescape(m[0]), text)
+# A place in a text, what stands there up to its end, and what takes its place.
+Edits = Iterator[tuple[int, int, str]]
+
+
+def _each(pattern: object, by: Callable[[object], str]) -> Callable[[str], Edits]:
+    """The edits that put by(match) for each match of a pattern, or for its last group."""
+
+    def edits(text: str) -> Edits:
+        for m in pattern.finditer(text):
+            group = m.lastindex or 0
+            yield *m.span(group), by(m)
+
+    return edits
+
+
+def _unescaped(m: re.Match) -> str:
+    """The character of an entity, however often its ampersand was escaped."""
+    end = _AMPERSANDS.match(m[0]).end()
+    return html.unescape("&" + m[0][end:]) if end < len(m[0]) else "&"
+
+
+def _comments(text: str) -> Edits:
+    start = text.find("<!--")
+    while start >= 0 and (end := text.find("-->", start + 4)) >= 0:
+        yield start, end + 3, " "
+        start = text.find("<!--", end + 3)
+
+
+def _tags(text: str) -> Edits:
+    for m in _TAG.finditer(text):
+        name = m[1].lower()
+        if name in HTML or (m[2] and "=" in m[2]):
+            yield *m.span(), "" if name in INLINE else " "
+
+
+def _bbcode(text: str) -> Edits:
+    own = {name.lower() for name in _CLOSED.findall(text)}
+    for m in _BRACKET.finditer(text):
+        name = m[1].lower()
+        if name in BBCODE or name in own:
+            yield *m.span(), "" if name in INLINE else " "
+
+
+# The passes over a text, and the character without which each does nothing.
+_ENTITIES = _each(_ENTITY, _unescaped)
+_PASSES: list[tuple[str, Callable[[str], Edits]]] = [
+    ("<", _comments),
+    ("<", _tags),
+    ("[", _each(_LINK, lambda m: " ")),
+    ("[", lambda text: ((*m.span(), " ") for m in _ADDRESS.finditer(text))),
+    ("[", _bbcode),
+    ("{", lambda text: ((*m.span(), " ") for m in _BRACES.finditer(text))),
+]
+
+
+def _edited(text: str, edits: Edits) -> str:
+    pieces, last = [], 0
+    for a, b, put in edits:
+        pieces += (text[last:a], put)
+        last = b
+    return "".join([*pieces, text[last:]]) if last else text
 
 
 def plain(text: str) -> str:
     """Text in its look-alike form without entities and markup."""
-    text = to_latin(tidy(text))
-    if "&" in text:  # an entity may be escaped itself
-        text = tidy(_unescape(_unescape(text)))
-    if "<" in text or "[" in text or "{" in text:
-        text = _INLINE.sub("", _DROPPED.sub(" ", text))
+    if changes(text):
+        text = to_latin(tidy(text))
+    if "&" in text:
+        text = tidy(_edited(text, _ENTITIES(text)))
+    for sign, edits in _PASSES:
+        if sign in text:
+            text = _edited(text, edits(text))
     return text
 
 
+def _folded(part: str) -> list[str]:
+    """The words of a part of a text between spaces."""
+    return _RUN.findall(match_fold(to_latin(tidy(part))))
+
+
+def parts(text: str) -> list[str]:
+    """The parts of a text between spaces: no word reaches from one into another."""
+    return (plain(text) if _MARKUP.search(text) else text).split()
+
+
 def words(text: str) -> list[str]:
     """The words of a text, for comparison."""
-    return _RUN.findall(match_fold(plain(text)))
+    return [w for part in parts(text) for w in _folded(part)]
 
 
 class Edited:
@@ -87,11 +178,9 @@ class Edited:
         self.text = text
         self.steps: list[tuple[list[int], list[tuple[int, int, bool]]]] = []
 
-    def replace(self, pattern: regex.Pattern, by: Callable[[str], str]) -> None:
+    def apply(self, edits: Edits) -> None:
         pieces, marks, last, length = [], [(0, 0, False)], 0, 0
-        for m in pattern.finditer(self.text):
-            a, b = m.span()
-            put = by(m[0])
+        for a, b, put in edits:
             pieces += (self.text[last:a], put)
             length += a - last
             if len(put) != b - a:
@@ -104,6 +193,14 @@ class Edited:
         if len(marks) > 1:
             self.steps.append(([m[0] for m in marks], marks))
 
+    def replace(self, pattern: object, by: Callable[[str], str]) -> None:
+        self.apply((*m.span(), by(m[0])) for m in pattern.finditer(self.text))
+
+    def markup(self) -> None:
+        for sign, edits in _PASSES:
+            if sign in self.text:
+                self.apply(edits(self.text))
+
     def origin(self, start: int, end: int) -> tuple[int, int]:
         """Where the characters from start to before end come from."""
         for starts, marks in reversed(self.steps):
@@ -124,14 +221,11 @@ def _located(text: str) -> Edited:
         e.replace(_ACCENTED, tidy)
         e.replace(_NOT_ASCII, lambda x: to_latin(tidy(x)))
     if "&" in e.text:
-        for _ in range(2):
-            e.replace(_ENTITY, html.unescape)
+        e.apply(_ENTITIES(e.text))
         e.replace(HIDDEN, lambda x: "")
         e.replace(_ACCENTED, tidy)
         e.replace(_NOT_ASCII, tidy)
-    if "<" in e.text or "[" in e.text or "{" in e.text:
-        e.replace(_DROPPED, lambda x: " ")
-        e.replace(_INLINE, lambda x: "")
+    e.markup()
     e.replace(_NOT_ASCII, match_fold)
     e.text = e.text.lower()  # the rest is ASCII
     return e
@@ -158,12 +252,10 @@ def _each_character(text: str) -> Edited:
     e.replace(regex.compile(r"(?s)."), lambda c: c if next(shown) else "")
     e.replace(regex.compile(r"(?s).\p{M}*"), lambda c: to_latin(tidy(c)))
     if "&" in e.text:
-        for _ in range(2):
-            e.replace(_ENTITY, html.unescape)
+        e.apply(_ENTITIES(e.text))
         e.replace(HIDDEN, lambda x: "")
         e.replace(regex.compile(r"(?s).\p{M}*"), tidy)
-    e.replace(_DROPPED, lambda x: " ")
-    e.replace(_INLINE, lambda x: "")
+    e.markup()
     e.replace(regex.compile(r"(?s).\p{M}*"), match_fold)
     return e
 
@@ -271,82 +363,121 @@ class FMIndex:
         return place
 
 
-@dataclass
 class Phrases:
-    """The distinct phrases of items, as word tuples, and the items of each."""
+    """The phrases of items: the words of items of different wording, numbered from 1, one after another,
+    and where each phrase begins among them."""
 
-    phrases: list[tuple[str, ...]]
-    items: list[list[int]]
-
-    @classmethod
-    def of(cls, items: Iterable[tuple[int, str | None]], length: int = PHRASE) -> Phrases:
-        held: dict[tuple[str, ...], set[int]] = defaultdict(set)
+    def __init__(self, items: Iterable[tuple[object, str | None]], length: int = PHRASE) -> None:
+        same: dict[tuple[str, ...], list[object]] = {}
         for item, text in items:
-            w = words(text or "")
-            for i in range(max(1, len(w) - length + 1)):
-                if run := tuple(w[i : i + length]):
-                    held[run].add(item)
-        return cls(list(held), [sorted(i) for i in held.values()])
+            if w := tuple(words(text or "")):
+                same.setdefault(w, []).append(item)
+        self.items = [sorted(i, key=lambda x: (x is None, x)) for i in same.values()]
+        self.numbers: dict[str, int] = {}
+        numbers = [np.array([self.numbers.setdefault(x, len(self.numbers) + 1) for x in w], np.int32) for w in same]
+        self.words = np.concatenate([*numbers, np.zeros(0, np.int32)])
+        sizes = np.array([len(n) for n in numbers], np.int64)
+        count = np.maximum(1, sizes - length + 1)
+        self.group = np.repeat(np.arange(len(sizes), dtype=np.int32), count)
+        first = np.repeat(np.cumsum(sizes) - sizes, count)
+        self.start = (first + np.arange(len(self.group)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+        self.size = np.repeat(np.minimum(sizes, length), count).astype(np.int32)
+        self.least = int(self.size.min()) if len(self.size) else 0
 
 
-def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans in order, those that overlap or touch joined."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+class _Numbered(dict):
+    """A part of a text to the numbers of its words, in one shard."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.words: dict[str, int] = {}
+
+    def __missing__(self, part: str) -> list[int]:
+        own = self[part] = [self.words.setdefault(w, len(self.words) + 1) for w in _folded(part)]
+        return own
 
 
 class Shard:
-    """Texts of one shard as word numbers; a separator stands between texts, so no phrase spans two."""
+    """Texts of one shard as word numbers, a 0 after each, so no phrase spans two."""
 
     def __init__(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbered = _Numbered()
         self.parts: list[np.ndarray] = []
         self.starts: list[int] = []
         self.size = 0
 
-    def add(self, text: str) -> None:
-        self.add_words(words(text))
+    def read(self, text: str) -> np.ndarray:
+        """The numbers of a text's words."""
+        return np.array(list(chain.from_iterable(map(self.numbered.__getitem__, parts(text)))), np.int32)
 
-    def add_words(self, text: list[str]) -> None:
-        numbers = self.numbers
-        own = [numbers.setdefault(w, len(numbers) + 2) for w in text]
+    def add(self, numbers: np.ndarray) -> None:
         self.starts.append(self.size)
-        self.parts.append(np.array([*own, 1], np.int64))
-        self.size += len(own) + 1
-
-    def find(self, sought: Phrases) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """(text, item) to the spans of words found."""
-        known = [p for p, words_ in enumerate(sought.phrases) if all(w in self.numbers for w in words_)]
-        found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        if not known or not self.size:
-            return found
-        lengths = np.array([len(sought.phrases[p]) for p in known])
-        matrix = np.zeros((len(known), int(lengths.max())), np.int64)
-        for row, p in enumerate(known):
-            matrix[row, matrix.shape[1] - lengths[row] :] = [self.numbers[w] for w in sought.phrases[p]]
-        index = FMIndex(np.concatenate(self.parts))
-        low, high = index.search(matrix)
-        counts = np.maximum(high - low, 0)
-        hits = np.flatnonzero(counts)
+        self.parts += (numbers, np.zeros(1, np.int32))
+        self.size += len(numbers) + 1
+
+    def find(self, sought: Phrases) -> Iterator[tuple[int, int, int, int]]:
+        """(text, group of items, first word, word after the last) of the spans found, merged, in order."""
+        if not self.size or not len(sought.start):
+            return
+        number = np.zeros(len(self.numbered.words) + 1, np.int32)
+        for word, own in self.numbered.words.items():
+            number[own] = sought.numbers.get(word, 0)
+        symbols = number[np.concatenate([*self.parts, np.zeros(1, np.int32)])]
+        # Only runs of words that items have, each with the word after it as a separator.
+        edges = np.flatnonzero(np.diff(np.r_[False, symbols > 0, False]))
+        first, end = edges[::2], edges[1::2]
+        long = end - first >= sought.least
+        first, size = first[long], (end - first)[long] + 1
+        if not len(first):
+            return
+        at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        # Numbered anew, by the words that are left: 0 is none, 1 the separator.
+        left = np.unique(symbols[at])
+        code = np.zeros(len(sought.numbers) + 1, np.int64)
+        code[left] = np.arange(1, len(left) + 1)
+        words_ = np.where(sought.words > 0, code[sought.words], 0)
+        there = np.r_[0, np.cumsum(words_ > 0)]
+        whole = np.flatnonzero(there[sought.start + sought.size] - there[sought.start] == sought.size)
+        if not len(whole):
+            return
+        index = FMIndex(code[symbols[at]])
         starts = np.array(self.starts)
-        for block in np.split(hits, np.flatnonzero(np.diff(np.cumsum(counts[hits]) // LOCATED_AT_ONCE)) + 1):
-            n = counts[block]
-            rows = np.repeat(low[block] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            place = index.locate(rows)
-            phrase = np.repeat(block, n)
-            text = np.searchsorted(starts, place, side="right") - 1
-            for t, at, row in zip(text.tolist(), (place - starts[text]).tolist(), phrase.tolist()):
-                for item in sought.items[known[row]]:
-                    found[t, item].append((at, at + int(lengths[row])))
-        return found
-
-
-def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str | None]]]:
+        found: list[np.ndarray] = []
+        for a in range(0, len(whole), SEARCHED_AT_ONCE):
+            phrases = whole[a : a + SEARCHED_AT_ONCE]
+            begin, length = sought.start[phrases], sought.size[phrases]
+            most = int(length.max())
+            column = np.arange(most) - most
+            place = begin[:, None] + length[:, None] + column
+            matrix = np.where(column >= -length[:, None], words_[np.maximum(place, 0)], 0)
+            low, high = index.search(matrix)
+            count = np.maximum(high - low, 0)
+            hits = np.flatnonzero(count)
+            for block in np.split(hits, np.flatnonzero(np.diff(np.cumsum(count[hits]) // LOCATED_AT_ONCE)) + 1):
+                n = count[block]
+                rows = np.repeat(low[block] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                word = at[index.locate(rows)]
+                text = np.searchsorted(starts, word, side="right") - 1
+                phrase = phrases[np.repeat(block, n)]
+                found.append(_merged(text, sought.group[phrase], word, word + sought.size[phrase]))
+        if found:
+            for t, g, a, b in _merged(*np.concatenate(found, axis=1)).T.tolist():
+                yield t, g, a - self.starts[t], b - self.starts[t]
+
+
+def _merged(text: np.ndarray, group: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(4, n) spans in order, those of one text and group that overlap or touch joined."""
+    order = np.lexsort((first, group, text))
+    text, group, first, end = text[order], group[order], first[order], end[order]
+    other = np.r_[True, (text[1:] != text[:-1]) | (group[1:] != group[:-1])][: len(text)]
+    base = np.cumsum(other) * (int(end.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(end + base) - base  # the end of all that came before, of this text and group
+    at = np.flatnonzero(other | np.r_[True, first[1:] > reach[:-1]][: len(text)])
+    last = np.r_[at[1:], len(text)][: len(at)] - 1
+    return np.stack([text[at], group[at], first[at], reach[last]]).astype(np.int64)
+
+
+def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[object, str | None]]]:
     """The items in blocks small enough to broadcast, by rows and by characters."""
     count, chars = items.agg(F.count("*"), F.sum(F.length(items.columns[1]))).first()
     blocks = max(1, -(-count // limit), -(-(chars or 0) // BLOCK_CHARS))
@@ -355,6 +486,11 @@ def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str | None
         yield [tuple(r) for r in own.collect()]
 
 
+def _release(shared: object) -> None:
+    """Let a broadcast value go; it's read again from its file when next asked for."""
+    shared.__dict__.pop("_value", None)
+
+
 def find_leaks(
     documents: DataFrame,
     doc_id: str,
@@ -374,37 +510,42 @@ def find_leaks(
     schema = T.StructType([T.StructField("doc_id", kinds[0]), T.StructField("item_id", kinds[1]), T.StructField("spans", span)])
     sought_items = items.select(item_id, item_text).where(F.col(item_text).isNotNull())
     corpus = documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(doc_id, text)
-    out = None
+    shared = []
     for block in _blocks(sought_items, block_items):
-        shared = documents.sparkSession.sparkContext.broadcast(Phrases.of(block, phrase))
-        found = corpus.mapInArrow(_search(shared, phrase, shard_words, schema), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _search(shared: object, phrase: int, shard_words: int, schema: T.StructType) -> object:
-    Found = dict[tuple[int, int], list[tuple[int, int]]]
-
-    def rows(found: Found, held: list[tuple[object, str]], arrow: pa.Schema) -> pa.RecordBatch:
-        out: list[tuple] = []
-        places: dict[int, Places] = {}
-        for (t, item), spans in found.items():
-            if t not in places:
-                places[t] = Places(held[t][1])
-            joined = [places[t].span(a, b) for a, b in merged(spans)]
-            out.append((held[t][0], item, [{"start": a, "end": b} for a, b in joined]))
-        columns = list(zip(*out)) if out else [[] for _ in arrow]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], names=arrow.names)
-
-    def in_pieces(text: list[str]) -> Found:
+        shared.append(documents.sparkSession.sparkContext.broadcast(Phrases(block, phrase)))
+        if len(shared) > 1:
+            _release(shared[-2])
+    return corpus.mapInArrow(_search(shared, phrase, shard_words, schema), schema)
+
+
+def _search(shared: list, phrase: int, shard_words: int, schema: T.StructType) -> object:
+    def rows(shard: Shard, held: list[tuple[object, str]], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """What a shard holds, block by block of the items; a held text may stand in several pieces."""
+        for block in shared:
+            sought: Phrases = block.value
+            spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for t, group, a, b in shard.find(sought):
+                spans.setdefault((t, group), []).append((a, b))
+            if spans:
+                yield _rows(spans, held, sought, arrow)
+            if len(shared) > 1:
+                _release(block)
+
+    def in_pieces(shard: Shard, numbers: np.ndarray, key: object, content: str, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
         """A text longer than a shard: pieces that overlap by a phrase less one word."""
-        found: Found = defaultdict(list)
-        for start in range(0, len(text), shard_words):
-            piece = Shard()
-            piece.add_words(text[start : start + shard_words + phrase - 1])
-            for (_, item), spans in piece.find(shared.value).items():
-                found[0, item] += [(start + a, start + b) for a, b in spans]
-        return found
+        for block in shared:
+            sought: Phrases = block.value
+            spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for start in range(0, len(numbers), shard_words):
+                piece = Shard()
+                piece.numbered = shard.numbered
+                piece.add(numbers[start : start + shard_words + phrase - 1])
+                for _, group, a, b in piece.find(sought):
+                    spans.setdefault((0, group), []).append((start + a, start + b))
+            if spans:
+                yield _rows({k: merged(v) for k, v in spans.items()}, [(key, content)], sought, arrow)
+            if len(shared) > 1:
+                _release(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -413,16 +554,39 @@ def _search(shared: object, phrase: int, shard_words: int, schema: T.StructType)
         shard, held = Shard(), []
         for batch in batches:
             for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = words(content)
-                if len(text) > shard_words:
-                    yield rows(in_pieces(text), [(key, content)], arrow)
+                numbers = shard.read(content)
+                if len(numbers) > shard_words:
+                    yield from in_pieces(shard, numbers, key, content, arrow)
                     continue
-                shard.add_words(text)
+                shard.add(numbers)
                 held.append((key, content))
                 if shard.size >= shard_words:
-                    yield rows(shard.find(shared.value), held, arrow)
+                    yield from rows(shard, held, arrow)
                     shard, held = Shard(), []
         if held:
-            yield rows(shard.find(shared.value), held, arrow)
+            yield from rows(shard, held, arrow)
 
     return run
+
+
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch joined."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _rows(spans: dict[tuple[int, int], list[tuple[int, int]]], held: list[tuple[object, str]], sought: Phrases, arrow: pa.Schema) -> pa.RecordBatch:
+    """A row for each text and each item of the groups found in it, with the characters of the spans."""
+    out: list[tuple] = []
+    now, places = None, None
+    for (t, group), own in spans.items():  # in the order of the texts
+        if t != now:
+            now, places = t, Places(held[t][1])
+        cut = [dict(zip(("start", "end"), places.span(a, b))) for a, b in own]
+        out += [(held[t][0], item, cut) for item in sought.items[group]]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), arrow)], names=arrow.names)
