@@ -1,7 +1,8 @@
 """Items: summary, membership and insert-if-absent as DataFrame operators.
 
-Nothing here groups rows by key in one task: winners come from a partial aggregation, and flags from
-a join on the unique `seq`, so a digest that holds a third of all rows costs no more than any other.
+Nothing here groups rows by key in one task: winners come from a partial aggregation, flags from a join
+on the unique `seq`, and membership from a join that spreads hot keys, so a digest that holds a third of
+all rows costs no more than any other.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestock.functions import label_key
+from lodestock.operators.joins import member_join
 
 ITEM_FIELDS = ("sha256", "source", "size", "label")
 ITEM_SCHEMA = T.StructType(
@@ -46,8 +48,9 @@ def _per_label(items: DataFrame, by: list[str]) -> DataFrame:
 def summary(items: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., items, bytes, labels): labels is a map in code point order, empty for no rows.
 
-    Rows are reduced once per label; only the label counts meet in one row. Without `by` there is
-    always one row; with it, one per group that has rows.
+    Rows are reduced once per label; only the label counts meet in one row, as the report is one map.
+    `label_counts` gives the same counts as rows, for more labels than a report can hold. Without `by`
+    there is always one row; with it, one per group that has rows.
     """
     by = by or []
     entries = F.array_sort(F.collect_list(F.struct("_label", "_n")))
@@ -70,19 +73,20 @@ def summary_json(items: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def present(rows: DataFrame, known: DataFrame, key: str = "sha256") -> DataFrame:
     """The rows whose key is among the known keys; a null key never is."""
-    return rows.join(known.select(key), key, "left_semi").select(*rows.columns)
+    return member_join(rows, known, key, "left_semi")
 
 
 def absent(rows: DataFrame, known: DataFrame, key: str = "sha256") -> DataFrame:
     """The rows whose key is not among the known keys; a null key never is known."""
-    return rows.join(known.select(key), key, "left_anti").select(*rows.columns)
+    return member_join(rows, known, key, "left_anti")
 
 
 def winners(requests: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """(sha256, seq) of the request that wins each digest: that of least seq among those whose digest
     isn't in `existing`. A hash aggregation of two narrow columns, reduced before it moves."""
     won = requests.where(F.col("sha256").isNotNull()).groupBy("sha256").agg(F.min("seq").alias("seq"))
-    return won if existing is None else absent(won, existing)
+    # Each digest is one row by now, so none is hot.
+    return won if existing is None else won.join(existing.select("sha256"), "sha256", "left_anti")
 
 
 def first_wins(requests: DataFrame, existing: DataFrame | None = None) -> DataFrame:

@@ -13,11 +13,13 @@ def with_position(df: DataFrame, by: list[str]) -> DataFrame:
     """df with `position` (bigint, from 0): each row's place in the ascending order of `by`, nulls
     first. Rows equal in all of `by` get neighbouring places in no particular order; make `by` unique
     where that matters. An empty table gives no rows. No task sorts more than its range: rows are
-    sorted within ranges, and each range starts where the ranges before it end. A column of the input
-    named `position` is replaced."""
+    sorted within ranges, each range starts where the ranges before it end, and rows that are equal in
+    `by` may lie in several ranges, by where they come from. A column of the input named `position` is
+    replaced."""
     order = [f"c{place(df, b)}" for b in by]
     kept = others(df, ["position"])
-    ranges = cut(by_place(df).repartitionByRange(*order).sortWithinPartitions(*order))
+    tied = by_place(df).withColumn("_tie", F.monotonically_increasing_id())
+    ranges = cut(tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie"))
     # Partition number in the upper bits, place within the partition in the lower 33.
     placed = ranges.withColumn("_row", F.monotonically_increasing_id()).withColumn("_range", F.spark_partition_id())
     sizes = placed.groupBy("_range").agg(F.count("*").alias("n")).collect()  # one number per range
