@@ -2,35 +2,39 @@
 
 1. Every text is made tidy: characters that show nothing go, letters and digits of full width and spaces
    that don't break become the ordinary ones, accents join their letters.
-2. In tokens (runs of letters) of mixed script, the dominant script is found, look-alike letters are
-   substituted by those of that script, and the result is taken if the corpus' vocabulary has it as a
-   token of one script. If not, the token's other scripts are tried.
-3. What the vocabulary can't settle - tokens that nobody wrote properly, and tokens of one script all of
-   whose letters have twins in another, which no rule about mixed scripts can see - follows a fixed rule:
-   Latin if all letters can be, else the first script that all can be, else letter by letter.
-   The rule is also applied to what step 2 took, so that two texts that look the same always end up
-   equal; texts that differ in anything else stay different.
+2. The corpus' vocabulary is that of its tokens (runs of letters) of one script. Tokens that look the
+   same are a class, known by its look: the token with every look-alike letter as the Latin one.
+3. A token of mixed script takes the way to write its class in one script that the vocabulary has. Where
+   it has several, the Latin one goes first, then the one in the dominant script of most of the class'
+   tokens: each token names the script of most of its letters.
+4. Tokens of one script stay as they are, but for those that look like another token of one script (a
+   Cyrillic "а" alone, codes in capitals), which no rule about mixed scripts can see: they take the same
+   way to write their class. Mixed tokens that nobody wrote properly take their look.
+
+So two texts have equal forms just when they look the same, and every form is written as the corpus
+writes it, wherever it does.
 
 Null texts have a null form; empty and blank ones an empty form, and are never pairs. Repeated texts have
 equal forms and are no pair with each other, but each is one with every differing text of their look.
-Texts of any length are taken whole.
+Texts of any length are taken whole. Texts of characters that no step can change never leave the JVM.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestock.llm.glyphs import LOOK_ALIKES, tidy, to_latin
 from lodestock.operators.columns import pick
-from lodestock.session import cut, fits
+from lodestock.operators.joins import spread_join
+from lodestock.session import broadcast_if_small, cut, fits
 
 BROADCAST_TOKENS = 200_000
 PAIR_BLOCK = 1_000
@@ -39,11 +43,28 @@ _TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 # phonetics are a script of their own here.
 SCRIPTS = {
     "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)),
-    "phonetic": ((0x250, 0x2AF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF)),
-    "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
     "cyrillic": ((0x400, 0x52F),),
+    "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
     "armenian": ((0x530, 0x58F),),
+    "phonetic": ((0x250, 0x2AF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF)),
 }
+# Ranges of characters that are tidy and of no other script that has look-alikes.
+UNCHANGED = (
+    (0x00, 0x7F),
+    (0xA1, 0xAC),
+    (0xAE, 0xB4),
+    (0xB6, 0x24F),
+    (0x2010, 0x2027),
+    (0x2030, 0x205E),
+    (0x20A0, 0x20BF),
+    (0x2190, 0x22FF),
+    (0x3001, 0x3029),
+    (0x3041, 0x3096),
+    (0x30A1, 0x30FE),
+    (0x4E00, 0x9FFF),
+)
+_CHANGING = "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in UNCHANGED) + "]"
+_BLANK = r"^[\t-\r\x1c-\x20]*$"
 
 
 @lru_cache(maxsize=100_000)
@@ -61,17 +82,32 @@ def _twins() -> dict[str, dict[str, str]]:
     for latin, others in LOOK_ALIKES.items():
         for other in others:
             out.setdefault(script(other), {}).setdefault(latin, other)
-    out.pop("phonetic", None)
     return out
 
 
 TWINS = _twins()
 
 
+def _letters(token: str) -> dict[str, int]:
+    """Script to the letters of a token in it, of the scripts that may look alike."""
+    count: dict[str, int] = {}
+    for letter in token:
+        if letter.isalpha() and (name := script(letter)) != "other":
+            count[name] = count.get(name, 0) + 1
+    return count
+
+
 @lru_cache(maxsize=100_000)
 def mixed(token: str) -> bool:
     """Whether a token has letters of more than one script that may look alike."""
-    return not token.isascii() and len({s for s in map(script, filter(str.isalpha, token)) if s != "other"}) > 1
+    return not token.isascii() and len(_letters(token)) > 1
+
+
+@lru_cache(maxsize=100_000)
+def dominant(token: str) -> str:
+    """The script of most of a token's letters, the first of SCRIPTS among equals; "other" for none."""
+    count = _letters(token)
+    return max(SCRIPTS, key=lambda s: count.get(s, 0)) if count else "other"
 
 
 def as_script(token: str, name: str) -> str | None:
@@ -87,28 +123,14 @@ def as_script(token: str, name: str) -> str | None:
     return unicodedata.normalize("NFC", "".join(out))
 
 
-def candidates(token: str) -> list[str]:
-    """The ways to write a token in one script, that of most of its letters first."""
-    count: dict[str, int] = {}
-    for letter in token:
-        if letter.isalpha():
-            count[script(letter)] = count.get(script(letter), 0) + 1
-    order = sorted(TWINS, key=lambda s: (-count.get(s, 0), list(TWINS).index(s)))
-    return [c for s in order if (c := as_script(token, s)) is not None]
-
-
 @lru_cache(maxsize=200_000)
-def settled(token: str) -> str:
-    """The form of a token by the fixed rule; the same for all tokens that look the same."""
-    latin = to_latin(token)
-    for name in TWINS:
-        if (written := as_script(latin, name)) is not None:
-            return written
-    return latin
+def _look(token: str) -> str:
+    return to_latin(token)
 
 
-def formed(text: str, repairs: dict[str, str]) -> tuple[str, int]:
-    """The form of a text, and how many of its tokens the vocabulary's repairs settled."""
+def formed(text: str, ways: Mapping[str, str]) -> tuple[str, int]:
+    """The form of a text, and how many of its mixed tokens the vocabulary repaired. ways: look of a
+    class to the way in which it's written."""
     text = tidy(text)
     if text.isascii():
         return text, 0
@@ -118,93 +140,102 @@ def formed(text: str, repairs: dict[str, str]) -> tuple[str, int]:
         nonlocal count
         if (token := m[0]).isascii():
             return token
-        repaired = repairs.get(token)
-        count += repaired is not None
-        return settled(repaired or token)
+        written = ways.get(look := _look(token))
+        if not mixed(token):
+            return written or token
+        count += written is not None
+        return written or look
 
     return _TOKEN.sub(one, text), count
 
 
-def form(text: str, repairs: dict[str, str] | None = None) -> str:
-    """The form of a text, with the repairs that the vocabulary confirms."""
-    return formed(text, repairs or {})[0]
+def form(text: str, ways: Mapping[str, str] | None = None) -> str:
+    """The form of a text, with the ways to write its tokens that the vocabulary has."""
+    return formed(text, ways or {})[0]
 
 
-def _tokens(df: DataFrame, text: str) -> DataFrame:
-    """(token, mixed): the distinct tokens of each batch of texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: set[str] = set()
-            for content in batch.column(0).to_pylist():
-                if content:
-                    found.update(_TOKEN.findall(tidy(content)))
-            listed = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array(listed, pa.string()), pa.array([mixed(t) for t in listed], pa.bool_())], names=["token", "mixed"])
-
-    return df.select(text).mapInArrow(run, "token string, mixed boolean")
+def changing(text: Column | str) -> Column:
+    """Whether a text holds a character that some step may change or compare."""
+    return F.col(text).rlike(_CHANGING) if isinstance(text, str) else text.rlike(_CHANGING)
 
 
-def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(look, token, script, single): the distinct tokens of each batch of texts."""
     for batch in batches:
-        rows = [(t, i, c) for t in batch.column(0).to_pylist() for i, c in enumerate(candidates(t))]
-        kinds = (pa.string(), pa.int32(), pa.string())
-        arrays = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["token", "place", "written"])
-
-
-def repairs_of(df: DataFrame, text: str) -> DataFrame:
-    """(token, written): the tokens of mixed script of a corpus, each with the first of its ways to be
-    written in one script that the corpus' vocabulary has."""
-    tokens = cut(_tokens(df, text).distinct())
-    possible = tokens.where("mixed").select("token").mapInArrow(_candidate_rows, "token string, place int, written string")
-    vocabulary = tokens.where("not mixed").select(F.col("token").alias("written"))
-    confirmed = possible.join(vocabulary, "written", "left_semi")
-    return confirmed.groupBy("token").agg(F.min_by("written", "place").alias("written"))
+        found: set[str] = set()
+        for content in batch.column(0).to_pylist():
+            found.update(_TOKEN.findall(tidy(content)))
+        rows = [(_look(t), t, dominant(t), not mixed(t)) for t in found]
+        kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["look", "token", "script", "single"])
+
+
+def ways_of(df: DataFrame, text: str, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+    """(look, written): the classes of tokens of a corpus of which some are mixed and the vocabulary has a
+    way to write them in one script, or has several; and that way.
+
+    Every text's tokens count. Those of texts that nothing can change are of one script, and only asked
+    for where tokens of other scripts look like them; so these come from the JVM, after the others.
+    """
+    texts = pick(df, text).toDF("t").where(F.col("t") != "")
+    tokens = cut(texts.where(changing("t")).mapInArrow(_token_rows, "look string, token string, script string, single boolean").distinct())
+    asked = tokens.where((F.col("script") != "latin") | ~F.col("single")).select(F.col("look").alias("token")).distinct()
+    words = texts.where(~changing("t")).select(F.explode(F.split("t", r"[^\p{L}]+")).alias("token")).where(F.col("token") != "")
+    plain = words.join(broadcast_if_small(asked, broadcast_tokens), "token", "left_semi").distinct()
+    every = tokens.unionByName(plain.select(F.col("token").alias("look"), "token", F.lit("latin").alias("script"), F.lit(True).alias("single"))).distinct()
+    single = {s: F.max(F.when(F.col("single") & (F.col("script") == s), F.col("token"))) for s in SCRIPTS}
+    votes = {s: F.count(F.when(F.col("script") == s, 1)) for s in SCRIPTS}
+    classes = every.groupBy("look").agg(
+        F.max(~F.col("single")).alias("mixed"), *[c.alias(s) for s, c in single.items()], *[c.alias(f"{s}_n") for s, c in votes.items()]
+    )
+    written = [F.struct(F.col(f"{s}_n").alias("n"), F.lit(-i).alias("first"), F.col(s).alias("w")) for i, s in enumerate(SCRIPTS)]
+    best = F.array_max(F.filter(F.array(*written), lambda x: x["w"].isNotNull()))["w"]
+    several = sum((F.col(s).isNotNull().cast("int") for s in SCRIPTS), F.lit(0)) > 1
+    return classes.select("look", F.coalesce(F.col("latin"), best).alias("written"), (F.col("mixed") | several).alias("_")).where("_ and written is not null").drop("_")
 
 
 def forms(df: DataFrame, key: str, text: str, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
-    """(key, text, form, repaired): `repaired` counts the tokens that the vocabulary confirmed."""
-    df = base = pick(df, key, text)
-    repairs = cut(repairs_of(df, text))
+    """(key, text, form, repaired): `repaired` counts the mixed tokens that the vocabulary repaired."""
+    base = pick(df, key, text)
+    ways = cut(ways_of(base, text, broadcast_tokens))
     fields = [base.schema[key], base.schema[text], T.StructField("form", T.StringType()), T.StructField("repaired", T.IntegerType())]
     schema = T.StructType(fields)
-    if fits(repairs, broadcast_tokens):
-        shared = df.sparkSession.sparkContext.broadcast(dict(map(tuple, repairs.collect())))
-        return base.mapInArrow(_form_rows(lambda batch, i: shared.value), schema)
-    # More repairs than may be broadcast: each text gets its own, by a join on the tokens.
-    own = _token_rows(df, key, text).join(repairs, "token").groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("token", "written"))).alias("_repairs"))
-    joined = base.join(own, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, text, "_repairs")
-    return joined.mapInArrow(_form_rows(lambda batch, i: dict(batch.column(2)[i].as_py() or [])), schema)
-
-
-def _token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(_key, token): the tokens of mixed script of each text."""
+    changed = F.coalesce(changing(F.col(f"`{text}`")), F.lit(False))
+    other = base.where(changed)
+    if fits(ways, broadcast_tokens):
+        shared = df.sparkSession.sparkContext.broadcast(dict(map(tuple, ways.collect())))
+        formed_ = other.mapInArrow(_form_rows(lambda batch, i: shared.value), schema)
+    else:
+        # More classes than may be broadcast: each text gets its own, by a join on the looks.
+        own = _own_looks(other, key, text).join(ways, "look").groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("look", "written"))).alias("_ways"))
+        joined = other.join(own, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, text, "_ways")
+        formed_ = joined.mapInArrow(_form_rows(lambda batch, i: dict(batch.column(2)[i].as_py() or [])), schema)
+    as_is = F.when(F.col(f"`{text}`").rlike(_BLANK), F.lit("")).otherwise(F.col(f"`{text}`"))
+    return base.where(~changed).select(key, text, as_is.alias("form"), F.lit(0).alias("repaired")).unionByName(formed_)
+
+
+def _own_looks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(_key, look): the looks of the tokens of each text that aren't ASCII."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, found = [], []
             for i, content in enumerate(batch.column(1).to_pylist()):
-                if content and not content.isascii():
-                    own = [t for t in set(_TOKEN.findall(tidy(content))) if mixed(t)]
-                    at += [i] * len(own)
-                    found += own
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], names=["_key", "token"])
+                own = {_look(t) for t in _TOKEN.findall(tidy(content)) if not t.isascii()}
+                at += [i] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], names=["_key", "look"])
 
-    schema = T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("token", T.StringType())])
+    schema = T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("look", T.StringType())])
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def _form_rows(repairs: object) -> object:
+def _form_rows(ways: object) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             written, counts = [], []
             for i, content in enumerate(batch.column(1).to_pylist()):
-                if content is None:
-                    written.append(None)
-                    counts.append(0)
-                    continue
-                content, count = (content, 0) if content.isascii() else formed(content, repairs(batch, i))
+                content, count = formed(content, ways(batch, i))
                 written.append("" if not content.strip() else content)
                 counts.append(count)
             yield pa.RecordBatch.from_arrays(
@@ -216,15 +247,16 @@ def _form_rows(repairs: object) -> object:
 
 
 def same_look(formed: DataFrame, key: str, text: str) -> DataFrame:
-    """(look, key, exact): the rows whose form is shared by at least two different texts; `look` and
-    `exact` are SHA-256 of form and text. Groups are counted before any row moves."""
+    """(look, key, exact, _n): the rows whose form is shared by at least two different texts, and how many
+    there are; `look` and `exact` are SHA-256 of form and text. One row per text, never pairs: this is the
+    result for groups of any size. Groups are counted before any row moves."""
     rows = formed.where(F.col("form") != "").select(
         F.unhex(F.sha2("form", 256)).alias("look"), F.col(key), F.unhex(F.sha2(text, 256)).alias("exact")
     )
     rows = cut(rows)
-    groups = rows.groupBy("look").agg(F.min("exact").alias("a"), F.max("exact").alias("b"), F.count("*").alias("n"))
-    several = groups.where(F.col("a") != F.col("b")).select(F.col("look").alias("_look"), F.col("n").alias("_n"))
-    return rows.join(several, F.col("look") == F.col("_look")).select("look", key, "exact", "_n")
+    groups = rows.groupBy("look").agg(F.min("exact").alias("a"), F.max("exact").alias("b"), F.count("*").alias("_n"))
+    several = cut(groups.where(F.col("a") != F.col("b")).select(F.col("look").alias("_look"), "_n"))
+    return spread_join(rows, several, "look", "_look", "exact").select("look", key, "exact", "_n")
 
 
 def pairs(members: DataFrame, key: str) -> DataFrame:

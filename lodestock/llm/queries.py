@@ -133,6 +133,13 @@ def _p8_forms(spark: SparkSession, sf: str) -> DataFrame:
     return _formed(spark, sf).select("doc_id", "form", "repaired")
 
 
+def _p8_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """(look, doc_id, texts): the documents that look like another of different characters, by the class
+    of their look, with the number of documents in it."""
+    members = lookalike.same_look(_formed(spark, sf), "doc_id", "text")
+    return members.select(F.lower(F.hex("look")).alias("look"), "doc_id", F.col("_n").alias("texts"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _p1_found,
     "p1_misses": _p1_misses,
@@ -151,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_spans": _p7_spans,
     "p8_found": _p8_found,
     "p8_forms": _p8_forms,
+    "p8_classes": _p8_classes,
 }
 
 _KEY = "coalesce(nullif(label, ''), 'unlabeled')"
@@ -175,6 +183,7 @@ SELECT count(*) AS new_keys, sum(first)::decimal(38,0) AS first FROM f WHERE d N
     "p7_spans": _p7_spans,
     "p8_found": _p8_found,
     "p8_forms": _p8_forms,
+    "p8_classes": _p8_classes,
 }
 
 _KEY = "coalesce(nullif(label, ''), 'unlabeled')"

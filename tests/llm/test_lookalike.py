@@ -1,9 +1,12 @@
 import itertools
+import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestock.llm import glyphs
 from lodestock.llm import lookalike as l
+from lodestock.operators import joins
 
 BASE = "Someone lost a café tray; naïve. I'd say Привет, камера"
 SAME = [
@@ -40,7 +43,8 @@ DIFFERENT = [
 
 
 def test_same_look_same_form():
-    assert {l.form(t) for t in SAME} == {BASE}
+    ways = {"Пpивeт": "Привет", "кaмepa": "камера", "I": "I", "d": "d", "a": "a"}
+    assert {l.form(t, ways) for t in SAME} == {BASE}
 
 
 def test_all_others_differ():
@@ -48,19 +52,29 @@ def test_all_others_differ():
     assert len(set(forms)) == len(forms)
 
 
-def test_every_twin_has_its_letters_form():
+def test_every_twin_has_its_letters_look():
     for latin, others in glyphs.LOOK_ALIKES.items():
-        assert {l.form(c) for c in others} == {latin}
+        assert {l._look(c) for c in others} == {latin}
         assert {glyphs.match_fold(c) for c in others} == {latin.lower()}
 
 
 def test_scripts():
     assert l.mixed("соst") and not l.mixed("камера") and not l.mixed("café") and l.mixed("fɑx") and not l.mixed("日本カ")
-    assert l.candidates("соsts")[0] == "costs"
-    assert l.candidates("кaмepa") == ["камера"]
-    assert l.candidates("нaшёл") == ["нашёл"]
-    assert l.settled("Ѕос") == "Soc" and l.settled("яblok") == "яblok"
-    assert set(l.candidates("ор")) >= {"op", "ор"}
+    assert l.dominant("соst") == "latin" and l.dominant("кaмера") == "cyrillic" and l.dominant("日本") == "other"
+    assert l.as_script("соsts", "latin") == "costs" and l.as_script("кaмepa", "latin") is None
+    assert l.as_script("кaмepa", "cyrillic") == "камера" and l.as_script("нaшёл", "cyrillic") == "нашёл"
+
+
+def test_unchanged_characters():
+    for a, b in l.UNCHANGED:
+        for c in map(chr, range(a, b + 1)):
+            assert l.form("x" + c) == "x" + c and l.script(c) in ("latin", "other") and not unicodedata.combining(c)
+
+
+def test_changing_texts(spark):
+    texts = {"abc": False, "café — “x”": False, "日本": False, "а": True, "x\u0301": True, "x\u00a0": True, "ｘ": True, "\u200b": True, "µ": True, "👍": True, "": False}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert dict(map(tuple, df.select("t", l.changing("t")).collect())) == texts
 
 
 def test_shows_matches_tidy():
@@ -90,12 +104,30 @@ def test_pairs(spark, limit):
     assert pairs(spark, TEXTS, broadcast_tokens=limit) == want
 
 
+def written(spark, texts):
+    rows = l.forms(frame(spark, texts), "doc_id", "text").collect()
+    assert len(rows) == len(texts)
+    return [(r["form"], r["repaired"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
 def test_repairs_need_the_vocabulary(spark):
-    texts = ["I bought а trаy", "the tray", "хylem соws", "no such word"]
-    got = dict(map(tuple, l.repairs_of(frame(spark, texts), "text").collect()))
-    assert got == {"trаy": "tray"}
-    rows = {r["doc_id"]: (r["form"], r["repaired"]) for r in l.forms(frame(spark, texts), "doc_id", "text").collect()}
-    assert rows == {0: ("I bought a tray", 1), 1: ("the tray", 0), 2: ("xylem cows", 0), 3: ("no such word", 0)}
+    texts = ["I bought а trаy", "the tray", "хylem соws", "no such word", "a b"]
+    got = dict(map(tuple, l.ways_of(frame(spark, texts), "text").collect()))
+    assert got == {"tray": "tray", "a": "a"}
+    assert written(spark, texts) == [("I bought a tray", 1), ("the tray", 0), ("xylem cows", 0), ("no such word", 0), ("a b", 0)]
+
+
+def test_the_vocabulary_decides_the_form(spark):
+    """A mixed token becomes Cyrillic, Greek or Latin as the corpus writes it, and pure ones stay."""
+    assert written(spark, ["cоp", "рос сор оса"]) == [("сор", 1), ("рос сор оса", 0)]
+    assert written(spark, ["cоp", "cop", "рос"]) == [("cop", 1), ("cop", 0), ("рос", 0)]
+    assert written(spark, ["cоp"]) == [("cop", 0)]
+    assert written(spark, ["νοo", "νoо", "νοο"]) == [("νοο", 1), ("νοο", 1), ("νοο", 0)]
+    # Both ways of one look are written: Latin first.
+    assert written(spark, ["сор", "cop", "cоp"]) == [("cop", 0), ("cop", 0), ("cop", 1)]
+    # Greek or Cyrillic: the script that most of the class' tokens mostly are in.
+    assert {f for f, _ in written(spark, ["ТОР", "ΤΟΡ", "ТΟР", "ТОΡ"])} == {"ТОР"}
+    assert {f for f, _ in written(spark, ["ТОР", "ΤΟΡ", "ΤОΡ", "ТΟΡ"])} == {"ΤΟΡ"}
 
 
 def test_null_empty_and_long(spark):
@@ -105,6 +137,26 @@ def test_null_empty_and_long(spark):
     assert pairs(spark, []) == set() and pairs(spark, [None, None]) == set()
 
 
+def test_hot_look_is_spread_over_tasks(spark, monkeypatch):
+    """A look that 90 % of the rows share, joined by salts: no task gets more than a small part."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    texts = [SAME[i % 3] if i % 10 else f"other {i}" for i in range(2000)]
+    formed = l.forms(frame(spark, [t + f" {i % 400}" * (i % 10 == 0) for i, t in enumerate(texts)]), "doc_id", "text")
+    got = l.same_look(formed, "doc_id", "text")
+    assert got.count() == 1800 and {r["_n"] for r in got.collect()} == {1800}
+    rows = spark.range(20_000).select(F.lit("hot").alias("look"), F.col("id").alias("v"))
+    few = spark.createDataFrame([("hot", 1), ("cold", 2)], "_look string, n int")
+    spread = joins.spread_join(rows, few, "look", "_look", "v").repartition(joins.SALTS * 4, "look", F.pmod(F.xxhash64(F.lit(3), "v"), F.lit(joins.SALTS)))
+    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 20_000 / 6
+
+
+def test_classes_of_copies_have_a_row_each(spark):
+    texts = ["tray", "trаy", "tray", "tray", "other"]
+    got = l.same_look(l.forms(frame(spark, texts), "doc_id", "text"), "doc_id", "text").collect()
+    assert {r["doc_id"] for r in got} == {0, 1, 2, 3} and {r["_n"] for r in got} == {4}
+
+
 def test_large_group_is_spread(spark, monkeypatch):
     monkeypatch.setattr(l, "PAIR_BLOCK", 7)
     texts = [SAME[i % 3] for i in range(60)]
