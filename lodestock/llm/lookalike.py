@@ -16,25 +16,29 @@ writes it, wherever it does.
 
 Null texts have a null form; empty and blank ones an empty form, and are never pairs. Repeated texts have
 equal forms and are no pair with each other, but each is one with every differing text of their look.
-Texts of any length are taken whole. Texts of characters that no step can change never leave the JVM.
+Texts of any length are taken whole. A text of characters that no step can change is passed on as it is,
+within its Arrow batch; the others are read by their parts between spaces, equal parts once.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import lru_cache
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestock.llm.glyphs import LOOK_ALIKES, tidy, to_latin
 from lodestock.operators.columns import pick
 from lodestock.operators.joins import spread_join
-from lodestock.session import broadcast_if_small, cut, fits
+from lodestock.session import cut, fits
 
 BROADCAST_TOKENS = 200_000
 PAIR_BLOCK = 1_000
@@ -64,7 +68,7 @@ UNCHANGED = (
     (0x4E00, 0x9FFF),
 )
 _CHANGING = "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in UNCHANGED) + "]"
-_BLANK = r"^[\t-\r\x1c-\x20]*$"
+REMEMBERED_PARTS = 500_000
 
 
 @lru_cache(maxsize=100_000)
@@ -128,61 +132,72 @@ def _look(token: str) -> str:
     return to_latin(token)
 
 
-def formed(text: str, ways: Mapping[str, str]) -> tuple[str, int]:
-    """The form of a text, and how many of its mixed tokens the vocabulary repaired. ways: look of a
-    class to the way in which it's written."""
-    text = tidy(text)
-    if text.isascii():
-        return text, 0
-    count = 0
-
-    def one(m: regex.Match) -> str:
-        nonlocal count
-        if (token := m[0]).isascii():
-            return token
-        written = ways.get(look := _look(token))
-        if not mixed(token):
-            return written or token
-        count += written is not None
-        return written or look
-
-    return _TOKEN.sub(one, text), count
+class Former(dict):
+    """The forms of the parts of texts between spaces. ways: look of a class to the way in which it's
+    written. `repaired` has the parts in which the vocabulary repaired mixed tokens, and how many."""
+
+    def __init__(self, ways: Mapping[str, str]) -> None:
+        super().__init__()
+        self.ways = ways
+        self.repaired: dict[str, int] = {}
+
+    def __missing__(self, part: str) -> str:
+        if len(self) >= REMEMBERED_PARTS:
+            self.clear()
+        count = 0
+
+        def one(m: regex.Match) -> str:
+            nonlocal count
+            if (token := m[0]).isascii():
+                return token
+            written = self.ways.get(look := _look(token))
+            if not mixed(token):
+                return written or token
+            count += written is not None
+            return written or look
+
+        form = tidy(part)
+        if not form.isascii():
+            form = _TOKEN.sub(one, form)
+        if count:
+            self.repaired[part] = count
+        self[part] = form
+        return form
+
+    def form(self, text: str) -> tuple[str, int]:
+        """The form of a text, and how many of its mixed tokens the vocabulary repaired."""
+        parts = text.split(" ")
+        form = " ".join(map(self.__getitem__, parts))
+        return form, sum(map(self.repaired.get, parts, repeat(0))) if self.repaired else 0
 
 
 def form(text: str, ways: Mapping[str, str] | None = None) -> str:
     """The form of a text, with the ways to write its tokens that the vocabulary has."""
-    return formed(text, ways or {})[0]
+    return Former(ways or {}).form(text)[0]
 
 
-def changing(text: Column | str) -> Column:
-    """Whether a text holds a character that some step may change or compare."""
-    return F.col(text).rlike(_CHANGING) if isinstance(text, str) else text.rlike(_CHANGING)
+def changing(texts: pa.Array) -> np.ndarray:
+    """Which texts hold a character that some step may change or compare; null ones don't."""
+    return np.asarray(pc.fill_null(pc.match_substring_regex(texts, _CHANGING), False))
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(look, token, script, single): the distinct tokens of each batch of texts."""
     for batch in batches:
         found: set[str] = set()
-        for content in batch.column(0).to_pylist():
-            found.update(_TOKEN.findall(tidy(content)))
+        for part in pc.unique(pc.list_flatten(pc.utf8_split_whitespace(batch.column(0)))).to_pylist():
+            found.update(_TOKEN.findall(tidy(part)))
         rows = [(_look(t), t, dominant(t), not mixed(t)) for t in found]
         kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["look", "token", "script", "single"])
 
 
-def ways_of(df: DataFrame, text: str, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+def ways_of(df: DataFrame, text: str) -> DataFrame:
     """(look, written): the classes of tokens of a corpus of which some are mixed and the vocabulary has a
-    way to write them in one script, or has several; and that way.
-
-    Every text's tokens count. Those of texts that nothing can change are of one script, and only asked
-    for where tokens of other scripts look like them; so these come from the JVM, after the others.
-    """
+    way to write them in one script, or has several; and that way. Every text's tokens count, reduced to
+    distinct ones per batch before they move."""
     texts = pick(df, text).toDF("t").where(F.col("t") != "")
-    tokens = cut(texts.where(changing("t")).mapInArrow(_token_rows, "look string, token string, script string, single boolean").distinct())
-    asked = tokens.where((F.col("script") != "latin") | ~F.col("single")).select(F.col("look").alias("token")).distinct()
-    words = texts.where(~changing("t")).select(F.explode(F.split("t", r"[^\p{L}]+")).alias("token")).where(F.col("token") != "")
-    plain = words.join(broadcast_if_small(asked, broadcast_tokens), "token", "left_semi").distinct()
-    every = tokens.unionByName(plain.select(F.col("token").alias("look"), "token", F.lit("latin").alias("script"), F.lit(True).alias("single"))).distinct()
+    every = texts.mapInArrow(_token_rows, "look string, token string, script string, single boolean").distinct()
     single = {s: F.max(F.when(F.col("single") & (F.col("script") == s), F.col("token"))) for s in SCRIPTS}
     votes = {s: F.count(F.when(F.col("script") == s, 1)) for s in SCRIPTS}
     classes = every.groupBy("look").agg(
@@ -197,21 +212,16 @@ def ways_of(df: DataFrame, text: str, broadcast_tokens: int = BROADCAST_TOKENS)
 def forms(df: DataFrame, key: str, text: str, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """(key, text, form, repaired): `repaired` counts the mixed tokens that the vocabulary repaired."""
     base = pick(df, key, text)
-    ways = cut(ways_of(base, text, broadcast_tokens))
+    ways = cut(ways_of(base, text))
     fields = [base.schema[key], base.schema[text], T.StructField("form", T.StringType()), T.StructField("repaired", T.IntegerType())]
     schema = T.StructType(fields)
-    changed = F.coalesce(changing(F.col(f"`{text}`")), F.lit(False))
-    other = base.where(changed)
     if fits(ways, broadcast_tokens):
         shared = df.sparkSession.sparkContext.broadcast(dict(map(tuple, ways.collect())))
-        formed_ = other.mapInArrow(_form_rows(lambda batch, i: shared.value), schema)
-    else:
-        # More classes than may be broadcast: each text gets its own, by a join on the looks.
-        own = _own_looks(other, key, text).join(ways, "look").groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("look", "written"))).alias("_ways"))
-        joined = other.join(own, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, text, "_ways")
-        formed_ = joined.mapInArrow(_form_rows(lambda batch, i: dict(batch.column(2)[i].as_py() or [])), schema)
-    as_is = F.when(F.col(f"`{text}`").rlike(_BLANK), F.lit("")).otherwise(F.col(f"`{text}`"))
-    return base.where(~changed).select(key, text, as_is.alias("form"), F.lit(0).alias("repaired")).unionByName(formed_)
+        return base.mapInArrow(_form_rows(lambda: shared.value), schema)
+    # More classes than may be broadcast: each text gets its own, by a join on the looks.
+    own = _own_looks(base.where(F.col(text).isNotNull()), key, text).join(ways, "look").groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("look", "written"))).alias("_ways"))
+    joined = base.join(own, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, text, "_ways")
+    return joined.mapInArrow(_form_rows(None), schema)
 
 
 def _own_looks(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -230,18 +240,24 @@ def _own_looks(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def _form_rows(ways: object) -> object:
+def _form_rows(ways: Callable[[], dict[str, str]] | None) -> object:
+    """Forms of batches (key, text), with the same ways for all; or of (key, text, ways), each with its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        former = Former(ways()) if ways else None
         for batch in batches:
-            written, counts = [], []
-            for i, content in enumerate(batch.column(1).to_pylist()):
-                content, count = formed(content, ways(batch, i))
-                written.append("" if not content.strip() else content)
-                counts.append(count)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(written, pa.string()), pa.array(counts, pa.int32())],
-                names=[batch.schema.names[0], batch.schema.names[1], "form", "repaired"],
-            )
+            texts = batch.column(1)
+            changed = changing(texts)
+            counts = np.zeros(batch.num_rows, np.int32)
+            put = []
+            for i in np.flatnonzero(changed).tolist():
+                own = Former(dict(batch.column(2)[i].as_py() or [])) if former is None else former
+                form, counts[i] = own.form(texts[i].as_py())
+                put.append(form)
+            forms_ = pc.replace_with_mask(texts, pa.array(changed), pa.array(put, texts.type))
+            blank = pc.equal(pc.utf8_trim_whitespace(forms_), "")
+            forms_ = pc.if_else(blank, pa.scalar("", texts.type), forms_)
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, forms_, pa.array(counts)], names=[batch.schema.names[0], batch.schema.names[1], "form", "repaired"])
 
     return run
 
