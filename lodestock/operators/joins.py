@@ -15,14 +15,15 @@ SALTS = 32
 HOT_SHARE = 1e-4
 
 
-def spread_join(rows: DataFrame, few: DataFrame, key: str, few_key: str, spread_by: str) -> DataFrame:
+def spread_join(rows: DataFrame, few: DataFrame, key: str, few_key: str, limit: int | None = None) -> DataFrame:
     """rows joined (inner) with `few`, which has a moderate number of rows of each key while `rows` may
-    have any. `few` is broadcast if it has at most BROADCAST_ROWS rows. Beyond that, its rows are repeated
-    for SALTS salts and each row of `rows` takes one by the hash of `spread_by`, so that a key's rows are
-    spread over as many tasks. The two sides' columns have different names. Null keys join nothing."""
-    if fits(few, BROADCAST_ROWS):
+    have any. `few` is broadcast if it has at most `limit` rows (BROADCAST_ROWS if not given). Beyond
+    that, its rows are repeated for SALTS salts and each row of `rows` takes one by its input partition,
+    so that a key's rows are spread over as many tasks. The two sides' columns have different names. Null
+    keys join nothing."""
+    if fits(few, BROADCAST_ROWS if limit is None else limit):
         return rows.join(F.broadcast(few), F.col(key) == F.col(few_key))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(3), spread_by), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     repeated = few.withColumn("_salted", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(repeated, (F.col(key) == F.col(few_key)) & (F.col("_salt") == F.col("_salted"))).drop("_salt", "_salted")
 

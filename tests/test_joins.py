@@ -36,10 +36,10 @@ def test_clashing_columns(spark, way):
 
 def test_spread_join(spark, way):
     few = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("none", 4), (None, 5)], "few string, n int")
-    got = joins.spread_join(hot(spark, 1000), few, "key", "few", "v")
+    got = joins.spread_join(hot(spark, 1000), few, "key", "few")
     want = {(r["v"], r["key"], n) for r in hot(spark, 1000).collect() for k, n in [("hot", 1), ("hot", 2), ("k3", 3)] if r["key"] == k}
     assert {(r["v"], r["key"], r["n"]) for r in got.collect()} == want
-    assert joins.spread_join(hot(spark).where("false"), few, "key", "few", "v").count() == 0
+    assert joins.spread_join(hot(spark).where("false"), few, "key", "few").count() == 0
 
 
 def test_no_task_gets_most_rows_of_a_hot_key(spark, monkeypatch):
@@ -53,7 +53,7 @@ def test_no_task_gets_most_rows_of_a_hot_key(spark, monkeypatch):
         sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == 17_801 and max(sizes) < 17_801 / 4
         few = spark.createDataFrame([("hot", 1)], "few string, n int")
-        sizes = [r["count"] for r in joins.spread_join(hot(spark), few, "key", "few", "v").groupBy(F.spark_partition_id()).count().collect()]
+        sizes = [r["count"] for r in joins.spread_join(hot(spark), few, "key", "few").groupBy(F.spark_partition_id()).count().collect()]
         assert max(sizes) < sum(sizes) / 4
     finally:
         for s, v in saved.items():
