@@ -272,7 +272,7 @@ def same_look(formed: DataFrame, key: str, text: str) -> DataFrame:
     rows = cut(rows)
     groups = rows.groupBy("look").agg(F.min("exact").alias("a"), F.max("exact").alias("b"), F.count("*").alias("_n"))
     several = cut(groups.where(F.col("a") != F.col("b")).select(F.col("look").alias("_look"), "_n"))
-    return spread_join(rows, several, "look", "_look", "exact").select("look", key, "exact", "_n")
+    return spread_join(rows, several, "look", "_look").select("look", key, "exact", "_n")
 
 
 def pairs(members: DataFrame, key: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import pickle
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,9 +29,12 @@ MEANT = {
 MISSES = ["harpsichord", "n/a", "-", " ", "12345", "zxkz", "нет", "不明", "DSC_1079", "batch 20", "​", "🙂", "a", "qwertyuiop" * 5000]
 
 
+FILLERS = ["photo", "of", "copy", "img", "my"]
+
+
 @pytest.fixture(scope="module")
 def dictionary():
-    return c.Dictionary((i, [n, *(a for a in x or [] if a)], 0) for i, n, x in LIST)
+    return c.Dictionary(((i, [n, *(a for a in x or [] if a)], 0) for i, n, x in LIST), fillers=FILLERS)
 
 
 @pytest.mark.parametrize("meant,typed", [(m, t) for m, ts in MEANT.items() for t in ts])
@@ -50,16 +56,87 @@ def test_weights():
     assert c.distance("ketle", "kettle") == c.DEFAULT.doubled
     assert c.distance("", "ab") == c.DEFAULT.vowel + c.DEFAULT.edit
     assert c.distance("xyz", "kettle", limit=1) > 1
+    assert c.distance("boeing737", "boeing747") == c.DEFAULT.digit
+    assert c.distance("boeing77", "boeing7") == c.DEFAULT.digit
+
+
+def test_table_has_all_starts():
+    whole, starts = c.table_of("kettls", "kettle")
+    assert whole == [c.distance("kettls"[:j], "kettle") for j in range(7)]
+    assert starts == [c.distance("kettls", "kettle"[:i]) for i in range(7)]
+
+
+def find(names, typed, fillers=()):
+    return c.Dictionary([(i, [n], 0) for i, n in enumerate(names)], fillers=fillers).find(typed)[0]
+
+
+def test_words_of_the_list_are_never_left_out():
+    assert find(["bridge", "old bridge"], "OLD BRIDGE", ["old"]) == 1
+    assert find(["bridge", "old bridge"], "my bridge", ["old", "my"]) == 0
+    assert find(["vitamin c", "vitamin d"], "Vitamin D") == 1
+    assert find(["vitamin c", "vitamin d"], "a vitamin c") == 0
+    assert find(["boeing 737", "boeing 747"], "Boeing 747") == 1
+    assert find(["boeing 737", "boeing 747"], "boeing-737 (2)") == 0
+    assert find(["boeing 737", "boeing 747"], "Boeing 757") == c.MISS
+    assert find(["404", "405"], "404 ") == 0
+    assert find(["kettle"], "kettle 404") == 0 and find(["kettle", "404"], "404, kettle") in (0, 1, c.MISS)
+
+
+def test_all_orders_of_words():
+    for name in ("one two", "red two three", "red blue three four", "red blue green four five", "a b c d e f g harbour"):
+        for typed in (name.split()[::-1], name.split()[1:] + name.split()[:1], sorted(name.split(), key=len)):
+            assert find(["other thing", name], " ".join(typed)) == 1, typed
+    assert find(["red blue green four five"], "fiive four blue red green") == 0
 
 
 def test_symmetric_deletes_find_every_form_within_reach(dictionary):
     """Brute force over all forms finds nothing better than the dictionary does."""
     typed = [t for ts in MEANT.values() for t in ts] + MISSES[:-1]
     for value in typed:
-        every = c.best_of(value, lambda text: dictionary.forms, dictionary.longest, dictionary.weights)
+        every = c.best_of(value, lambda text: dictionary.forms, dictionary.words, dictionary.weights)
         assert dictionary.find(value) == every, value
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_first_letters_are_enough(seed):
+    """Random edits within the depth searched, by keys of the first letters alone."""
+    r = random.Random(seed)
+    for _ in range(300):
+        form = "".join(r.choice("abcde") for _ in range(r.randrange(3, 16)))
+        typed = list(form)
+        for _ in range(min(c.depths(form)[0], 3)):
+            at = r.randrange(len(typed))
+            typed[at : at + r.randrange(2)] = r.choice(["", "z"])
+            typed = typed or ["a"]
+        typed = "".join(typed)
+        if min(c.depths(typed)[0], c.depths(form)[0]) == c.depths(form)[0] and 0 < len(typed):
+            for prefix in (c.PREFIX, c.SHUFFLED_PREFIX):
+                assert c.keys_of(typed, c.WHOLE, prefix) & c.keys_of(form, c.WHOLE, prefix), (form, typed)
+
+
+def test_cut_names_are_found():
+    assert find(["windmill"], "wind") == 0
+    assert find(["thermodynamics"], "thermod") == 0 and find(["thermodynamics"], "therm") == c.MISS
+    for prefix in (c.PREFIX, c.SHUFFLED_PREFIX):
+        for length in c.cut_lengths("copperkettle"):
+            assert c.keys_of("copperkettle"[:length], c.WHOLE, prefix) & c.form_keys("copperkettle", c.WHOLE, prefix)
+
+
+def test_keys_of_a_long_text_are_few():
+    assert len(c.keys_of("x" * 10_000 + "abcdefgh" * 100, c.WHOLE)) < 110
+    assert len(c.keys_of("abcdefgh" * 2000, c.WHOLE, c.SHUFFLED_PREFIX)) < 330
+
+
+def test_dictionary_of_many_entries_is_bounded(spark):
+    r = random.Random(1)
+    name = lambda: " ".join("".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randrange(4, 9))) for _ in range(2))
+    entries = [(i, [name()], 0) for i in range(1000)]
+    size = len(pickle.dumps(c.Dictionary(entries)))
+    df = spark.createDataFrame([(i, n, f) for i, n, f in entries], "class_id int, names array<string>, frequency bigint")
+    assert size < c.dictionary_bytes(df) < 40 << 20
+    assert c.dictionary_bytes(df.where("false")) == 0
+
+
 def test_ties_go_to_the_more_frequent_then_the_lower_id():
     names = [(7, ["rose bed"], 3), (5, ["nose bed"], 3), (9, ["hose bed"], 3)]
     assert c.Dictionary(names).find("bose bed")[0] in (5, 7, 9)
@@ -76,8 +153,8 @@ def frames(spark):
 
 def test_both_ways_agree(spark):
     rows, reference = frames(spark)
-    small = c.canonicalise(rows, "label", reference)
-    large = c.canonicalise(rows, "label", reference, broadcast_entries=0)
+    small = c.canonicalise(rows, "label", reference, fillers=FILLERS)
+    large = c.canonicalise(rows, "label", reference, fillers=FILLERS, most_bytes=0)
     assert small.columns == ["seq", "label", "class_name", "class_id", "cost", "exact"]
     a, b = sorted(map(tuple, small.collect())), sorted(map(tuple, large.collect()))
     assert a == b
@@ -91,7 +168,7 @@ def test_both_ways_agree(spark):
 
 def test_misses_are_reported(spark):
     rows, reference = frames(spark)
-    got = dict(map(tuple, c.misses(c.canonicalise(rows, "label", reference), "label").collect()))
+    got = dict(map(tuple, c.misses(c.canonicalise(rows, "label", reference, fillers=FILLERS), "label").collect()))
     assert got == {m: 1 for m in MISSES}
 
 
@@ -104,9 +181,31 @@ def test_empty_tables(spark):
 
 def test_clashing_columns(spark):
     rows, reference = frames(spark)
-    want = sorted(tuple(r)[1:] for r in c.canonicalise(rows, "label", reference).select("seq", "label", "class_id", "cost").collect())
+    want = sorted(tuple(r)[1:] for r in c.canonicalise(rows, "label", reference, fillers=FILLERS).select("seq", "label", "class_id", "cost").collect())
     odd = rows.select(F.col("seq").alias("cost"), F.lit(1).alias("Label"), "label", F.lit(2).alias("_id"), F.lit(3).alias("k"), F.lit(4).alias("_id"))
-    for more in ({}, {"broadcast_entries": 0}):
-        got = c.canonicalise(odd, "label", reference.withColumn("LABEL", F.lit(0)).withColumn("frequency", F.lit("x")), **more)
+    for more in ({}, {"most_bytes": 0}):
+        got = c.canonicalise(odd, "label", reference.withColumn("LABEL", F.lit(0)).withColumn("frequency", F.lit("x")), fillers=FILLERS, **more)
         assert got.columns == ["Label", "label", "_id", "k", "_id", "class_id", "cost", "exact"]
         assert sorted((r[1], r[5], r[6]) for r in got.collect()) == want
+
+
+def test_fillers_are_learned_from_the_values(spark):
+    typed = ["photo kettle", "Photo: lantern", "tabby cat photo", "nice kettle", "nice lantern", "coper kettle", "photo nothing", "paper paper lantern", "field photo mouse", "old", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(typed)], "seq bigint, label string")
+    reference = spark.createDataFrame(LIST, "class_id int, class_name string, aliases array<string>")
+    values = rows.where("label is not null").select("label")
+    entries = c._entries(reference, spark.createDataFrame([], "class_name string, frequency bigint"))
+    assert [r["word"] for r in c.learned_fillers(values, entries).collect()] == ["photo"]
+    assert {r["word"] for r in c.learned_fillers(values, entries, 2).collect()} == {"photo", "nice"}
+    got = {r["label"]: r["class_id"] for r in c.canonicalise(rows, "label", reference).collect()}
+    assert got["photo kettle"] == 2 and got["Photo: lantern"] == 7 and got["photo nothing"] == c.MISS
+
+
+def test_hot_value_and_many_answers(spark, monkeypatch):
+    """A value that most rows have, with the answers broadcast or spread."""
+    reference = spark.createDataFrame(LIST, "class_id int, class_name string, aliases array<string>")
+    rows = spark.range(0, 3000, 1, 5).select(F.when(F.col("id") % 10 < 9, "ketle").otherwise(F.concat(F.lit("lantern "), F.col("id") % 7)).alias("label"))
+    for chars in (c.ANSWER_CHARS, -1):
+        monkeypatch.setattr(c, "ANSWER_CHARS", chars)
+        got = c.canonicalise(rows, "label", reference).groupBy("class_id").count().collect()
+        assert sorted(map(tuple, got)) == [(2, 2700), (7, 300)]

@@ -3,7 +3,6 @@ import unicodedata
 
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from lodestock.llm import glyphs
 from lodestock.llm import lookalike as l
@@ -151,11 +150,6 @@ def test_hot_look_is_spread_over_tasks(spark, monkeypatch):
     formed = l.forms(frame(spark, [t + f" {i % 400}" * (i % 10 == 0) for i, t in enumerate(texts)]), "doc_id", "text")
     got = l.same_look(formed, "doc_id", "text")
     assert got.count() == 1800 and {r["_n"] for r in got.collect()} == {1800}
-    rows = spark.range(20_000).select(F.lit("hot").alias("look"), F.col("id").alias("v"))
-    few = spark.createDataFrame([("hot", 1), ("cold", 2)], "_look string, n int")
-    spread = joins.spread_join(rows, few, "look", "_look", "v").repartition(joins.SALTS * 4, "look", F.pmod(F.xxhash64(F.lit(3), "v"), F.lit(joins.SALTS)))
-    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
-    assert sum(sizes) == 20_000 and max(sizes) < 20_000 / 6
 
 
 def test_classes_of_copies_have_a_row_each(spark):
