@@ -5,14 +5,19 @@
 3. Number the rows of each key: that offset plus the row's place within its partition.
 4. Chunk: number div chunk_rows. Every chunk of a key but the last has exactly chunk_rows rows, so
    no task gets more than a chunk's rows of one key at once, however hot the key is.
-5. Process the chunks independently and merge their states in the order of the chunks.
+5. Process the chunks independently and merge their states in the order of the chunks, FAN at a time, so
+   that no key has more than FAN states in one row, however many chunks it has.
+
+Rows are in the order of the input, or of columns that are given: then they are first sorted within
+ranges of these, which hold about equally many rows whatever the keys. The rows are written once to the
+shared checkpoint folder, so that counting and numbering see the same partitions.
 
 Only keys with more than chunk_rows rows need numbers, so only their offsets are joined; the table of
 offsets is broadcast behind a check of its size and shuffled beyond it.
 
-Nulls form a key of their own. Repeated rows and ties count as separate rows. An empty table gives no
-chunks. Columns of the input keep their names and order, whatever they are; one named `_hk_chunk` is
-replaced by the operator's.
+Nulls form a key of their own. Repeated rows and ties count as separate rows; ties in the order columns
+come in no particular order. An empty table gives no chunks. Columns of the input keep their names and
+order, whatever they are; ones named `_hk_row` or `_hk_chunk` are replaced by the operator's.
 """
 
 from __future__ import annotations
@@ -29,7 +34,8 @@ from lodestock.operators.columns import by_place, others, place
 from lodestock.session import cut, fits
 
 BROADCAST_ROWS = 200_000
-SPLITS_SETTING = "spark.sql.files.minPartitionNum"
+FAN = 1_000
+OWN = ("_hk_row", "_hk_chunk")
 
 
 def _number_batches(key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -66,35 +72,27 @@ def partition_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key, F.spark_partition_id().alias("_hk_part")).agg(F.count("*").alias("_hk_rows"))
 
 
-def _with_fixed_splits(df: DataFrame) -> DataFrame:
-    """df, in a session whose scans are split alike even if executors come or go between two of them."""
-    spark = df.sparkSession
-    if spark.conf.get(SPLITS_SETTING, None) is None:
-        spark.conf.set(SPLITS_SETTING, str(spark.sparkContext.defaultParallelism))
-    return df
-
-
-def number_rows(df: DataFrame, key: str, chunk_rows: int, stable_scan: bool = False) -> DataFrame:
-    """df with `_hk_chunk` (bigint): the chunk of its key that each row belongs to.
-
-    Counting and numbering must see the same partitions. A plain scan of files is split alike as long
-    as the session's settings are, which the caller states by `stable_scan` (how many cores there are
-    just then counts too, so their number is fixed for the session's scans); any other input is first
-    written to the shared checkpoint folder.
-    """
+def number_rows(df: DataFrame, key: str, chunk_rows: int, order: list[str] | None = None) -> DataFrame:
+    """df with `_hk_row` (bigint), which grows along the rows of each key, and `_hk_chunk` (bigint), the
+    chunk of its key that each row belongs to. Rows are in the order of the columns `order`, nulls first,
+    or in that of the input."""
     if chunk_rows < 1:
         raise ValueError("chunk_rows must be at least 1")
     at = f"c{place(df, key)}"
-    kept = others(df, ["_hk_chunk"])
-    source = by_place(_with_fixed_splits(df) if stable_scan else cut(df)).select(*[f"c{i}" for i in kept])
-    return _number(source, at, chunk_rows).toDF(*[df.columns[i] for i in kept], "_hk_chunk")
+    kept = others(df, OWN)
+    source = by_place(df)
+    if order:
+        by = [f"c{place(df, o)}" for o in order]
+        source = source.repartitionByRange(*by).sortWithinPartitions(*by)
+    source = cut(source.select(*[f"c{i}" for i in kept]))
+    return _number(source, at, chunk_rows).toDF(*[df.columns[i] for i in kept], *OWN)
 
 
 def _number(source: DataFrame, key: str, chunk_rows: int) -> DataFrame:
-    """source, whose columns are named by their places, with `_hk_chunk`."""
-    counts = partition_counts(source.select(key), key)
+    """source, whose columns are named by their places, with `_hk_row` and `_hk_chunk`."""
+    counts = cut(partition_counts(source.select(key), key))
     totals = counts.groupBy(key).agg(F.sum("_hk_rows").alias("_hk_total"))
-    hot = totals.where(F.col("_hk_total") > chunk_rows).select(F.col(key).alias("_hk_key"))
+    hot = cut(totals.where(F.col("_hk_total") > chunk_rows).select(F.col(key).alias("_hk_key")))
     before = Window.partitionBy("_hk_key").orderBy("_hk_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut(
         counts.join(F.broadcast(hot) if fits(hot, BROADCAST_ROWS) else hot, F.col(key).eqNullSafe(F.col("_hk_key")), "inner")
@@ -102,11 +100,10 @@ def _number(source: DataFrame, key: str, chunk_rows: int) -> DataFrame:
         .withColumn("_hk_offset", F.coalesce(F.sum("_hk_rows").over(before), F.lit(0)))
         .select("_hk_key", F.col("_hk_part").alias("_hk_at"), "_hk_offset")
     )
-    placed = source.withColumn("_hk_part", F.spark_partition_id())
+    # Before any join, as that may move rows: where each row stands.
+    placed = source.withColumns({"_hk_part": F.spark_partition_id(), "_hk_row": F.monotonically_increasing_id()})
     if not fits(offsets, BROADCAST_ROWS):
-        # The join moves rows to other tasks: a local number must be fixed before it.
-        placed = placed.withColumn("_hk_row", F.monotonically_increasing_id())
-        return _number_after_shuffle(placed, offsets, key, chunk_rows).select(*source.columns, "_hk_chunk")
+        return _number_after_shuffle(placed, offsets, key, chunk_rows).select(*source.columns, *OWN)
     joined = placed.join(
         F.broadcast(offsets),
         F.col(key).eqNullSafe(F.col("_hk_key")) & (F.col("_hk_part") == F.col("_hk_at")),
@@ -116,7 +113,7 @@ def _number(source: DataFrame, key: str, chunk_rows: int) -> DataFrame:
     return (
         joined.mapInArrow(_number_batches(key), schema)
         .withColumn("_hk_chunk", F.expr(f"_hk_number div {chunk_rows}"))
-        .select(*source.columns, "_hk_chunk")
+        .select(*source.columns, *OWN)
     )
 
 
@@ -134,31 +131,24 @@ def _number_after_shuffle(placed: DataFrame, offsets: DataFrame, key: str, chunk
 
 
 def chunked_aggregate(
-    df: DataFrame, key: str, states: dict[str, Column], merge: dict[str, Column], chunk_rows: int, stable_scan: bool = False
+    df: DataFrame, key: str, states: dict[str, Column], combine: Callable[[Column, Column], dict[str, Column]], chunk_rows: int
 ) -> DataFrame:
-    """(key, merge...): `states` are aggregates over a chunk; `merge` aggregates over the states of a
-    key's chunks, which may use `_hk_chunk` for their order (e.g. F.min_by(first, "_hk_chunk"))."""
-    numbered = number_rows(df, key, chunk_rows, stable_scan)
+    """(key, states...): `states` are aggregates over a chunk, merged by `combine` (see merge_ordered)."""
+    numbered = number_rows(df, key, chunk_rows)
     partial = numbered.groupBy(key, "_hk_chunk").agg(*[c.alias(n) for n, c in states.items()])
-    return partial.groupBy(key).agg(*[c.alias(n) for n, c in merge.items()])
+    return merge_ordered(partial, key, combine)
 
 
 def chunked_apply(
-    df: DataFrame,
-    key: str,
-    process: Callable[..., object],
-    state_schema: str,
-    chunk_rows: int,
-    stable_scan: bool = False,
+    df: DataFrame, key: str, process: Callable[..., object], state_schema: str, chunk_rows: int, order: list[str] | None = None
 ) -> DataFrame:
-    """(key, _hk_chunk, state...): `process` maps the pandas rows of one chunk to its state rows. At
-    most chunk_rows rows of a key meet in one call. Merge the states by key in the order of chunks,
-    with `merge_ordered`."""
-    numbered = number_rows(df, key, chunk_rows, stable_scan)
+    """(key, _hk_chunk, state...): `process` maps the pandas rows of one chunk, in order, to its one state
+    row. At most chunk_rows rows of a key meet in one call. Merge the states with `merge_ordered`."""
+    numbered = number_rows(df, key, chunk_rows, order)
     key_type = df.schema[key].dataType.simpleString()
 
     def run(ids: tuple, rows: object) -> object:
-        out = process(rows)
+        out = process(rows.sort_values("_hk_row", ignore_index=True))
         out.insert(0, "_hk_chunk", ids[1])
         out.insert(0, key, ids[0])
         return out
@@ -166,13 +156,29 @@ def chunked_apply(
     return numbered.groupBy(key, "_hk_chunk").applyInPandas(run, f"`{key}` {key_type}, _hk_chunk bigint, {state_schema}")
 
 
-def merge_ordered(states: DataFrame, key: str, fields: list[str], start: Column, step: Callable, finish: Callable) -> DataFrame:
-    """(key, result): a key's chunk states, one struct per chunk in the order of chunks, folded by
-    `step(accumulated, state)` from `start`. A key has as many states as chunks, not rows."""
-    ordered = F.array_sort(F.collect_list(F.struct("_hk_chunk", *fields)))
-    return states.groupBy(key).agg(ordered.alias("_hk_states")).select(
-        key, F.aggregate("_hk_states", start, step, finish).alias("result")
-    )
+def merge_ordered(states: DataFrame, key: str, combine: Callable[[Column, Column], dict[str, Column]], fan: int | None = None) -> DataFrame:
+    """(key, fields...): the states (key, _hk_chunk, fields...) of each key merged in the order of its
+    chunks. `combine` takes two neighbouring states as structs and gives the fields of the state of both;
+    it must be associative. States are merged FAN at a time, level by level."""
+    fan = fan or FAN
+    types = {f.name: f.dataType for f in states.schema.fields if f.name not in (key, "_hk_chunk")}
+    states = cut(states)
+    last = states.agg(F.max("_hk_chunk")).first()[0] or 0
+    if last == 0:
+        return states.select(key, *types)
+
+    def both(a: Column, b: Column) -> Column:
+        merged = combine(a, b)
+        return F.struct(*[merged[n].cast(t).alias(n) for n, t in types.items()])
+
+    while last > 0:
+        some = F.array_sort(F.collect_list(F.struct("_hk_chunk", F.struct(*types).alias("s"))), lambda x, y: (x["_hk_chunk"] - y["_hk_chunk"]).cast("int"))
+        listed = F.transform(F.col("_hk_states"), lambda x: x["s"])
+        merged = F.aggregate(F.slice(listed, 2, F.size(listed)), F.get(listed, F.lit(0)), both)
+        states = states.groupBy(key, F.expr(f"_hk_chunk div {fan}").alias("_hk_chunk")).agg(some.alias("_hk_states")).select(key, "_hk_chunk", merged.alias("_hk_state"))
+        states = states.select(key, "_hk_chunk", *[F.col(f"_hk_state.{n}").alias(n) for n in types])
+        last //= fan
+    return states.select(key, *types)
 
 
 def heavy_keys(totals: DataFrame, rows: str, share: float) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestock import functions as fn
@@ -130,20 +130,41 @@ def _p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return hotkeys.heavy_keys(_p3_totals(spark, sf), "items", HEAVY_SHARE).select("label")
 
 
+def _labelled_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "import_requests").select("seq", fn.label_key("label").alias("label"), fn.known_size("size").alias("size"))
+
+
 def _p3_totals(spark: SparkSession, sf: str) -> DataFrame:
     """(label, items, bytes): rows and sum of the known sizes of every reported label."""
-    rows = table(spark, sf, "import_requests").select(
-        fn.label_key("label").alias("label"), fn.known_size("size").cast(ops.TOTAL).alias("size")
-    )
-    return hotkeys.chunked_aggregate(
-        rows,
-        "label",
-        {"n": F.count("*"), "b": F.sum("size").cast(ops.TOTAL)},
-        {"items": F.sum("n"), "bytes": F.coalesce(F.sum("b"), F.lit(0)).cast(ops.TOTAL)},
-        CHUNK_ROWS,
-        stable_scan=True,
+    rows = _labelled_sizes(spark, sf).select("label", "size")
+    states = {"items": F.count("*"), "bytes": F.coalesce(F.sum(F.col("size").cast(ops.TOTAL)), F.lit(0)).cast(ops.TOTAL)}
+    return hotkeys.chunked_aggregate(rows, "label", states, lambda a, b: {n: a[n] + b[n] for n in states}, CHUNK_ROWS)
+
+
+def _p3_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """(label, items, changes): in the order of `seq`, how often the known size of a label's row isn't that
+    of the label's row before. A chunk knows its own rows alone, and its first and last size."""
+    numbered = hotkeys.number_rows(_labelled_sizes(spark, sf), "label", CHUNK_ROWS, ["seq"])
+    chunk = Window.partitionBy("label", "_hk_chunk").orderBy("_hk_row")
+    before = F.lag(F.struct("size")).over(chunk)
+    changed = F.coalesce((~F.col("before.size").eqNullSafe(F.col("size")) & F.col("before").isNotNull()).cast("bigint"), F.lit(0))
+    states = (
+        numbered.withColumn("before", before)
+        .groupBy("label", "_hk_chunk")
+        .agg(
+            F.count("*").alias("items"),
+            F.sum(changed).alias("changes"),
+            F.min_by("size", "_hk_row").alias("first"),
+            F.max_by("size", "_hk_row").alias("last"),
+        )
     )
 
+    def combine(a: Column, b: Column) -> dict[str, Column]:
+        between = (~a["last"].eqNullSafe(b["first"])).cast("bigint")
+        return {"items": a["items"] + b["items"], "changes": a["changes"] + b["changes"] + between, "first": a["first"], "last": b["last"]}
+
+    return hotkeys.merge_ordered(states, "label", combine).select("label", "items", "changes")
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_counts": _label_counts,
@@ -169,6 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_label_counts": _stream_label_counts,
     "p3_found": _p3_found,
     "p3_label_totals": _p3_totals,
+    "p3_changes": _p3_changes,
 }
 
 _KEY = "coalesce(nullif(label, ''), 'unlabeled')"
@@ -217,4 +239,7 @@ SELECT manifest_id, sum(n)::bigint AS items, coalesce(sum(b), 0)::decimal(38,0)
 WHERE n >= 0.05 * (SELECT count(*) FROM import_requests)""",
     "p3_label_totals": f"""SELECT {_KEY} AS label, count(*) AS items, coalesce(sum(nullif(size, -1)), 0)::decimal(38,0) AS bytes
 FROM import_requests GROUP BY 1""",
+    "p3_changes": f"""WITH k AS (SELECT seq, {_KEY} AS label, nullif(size, -1) AS size FROM import_requests),
+l AS (SELECT label, size, lag(size) OVER w AS before, row_number() OVER w AS n FROM k WINDOW w AS (PARTITION BY label ORDER BY seq))
+SELECT label, count(*) AS items, count(*) FILTER (WHERE n > 1 AND size IS DISTINCT FROM before) AS changes FROM l GROUP BY label""",
 }

@@ -22,8 +22,8 @@ def test_chunks_have_exact_sizes(spark, monkeypatch, limit):
     monkeypatch.setattr(hotkeys, "BROADCAST_ROWS", limit)
     df = rows(spark)
     totals = collections.Counter(r["key"] for r in df.collect())
-    numbered = hotkeys.number_rows(df, "key", 64, stable_scan=True)
-    assert numbered.columns == ["v", "key", "number", "_hk_chunk"]
+    numbered = hotkeys.number_rows(df, "key", 64)
+    assert numbered.columns == ["v", "key", "number", "_hk_row", "_hk_chunk"]
     chunks = counted(numbered)
     for key, total in totals.items():
         sizes = [chunks[key, c] for c in range(-(-total // 64))]
@@ -34,33 +34,34 @@ def test_chunks_have_exact_sizes(spark, monkeypatch, limit):
 @pytest.mark.parametrize("limit", [hotkeys.BROADCAST_ROWS, 0])
 def test_rows_are_numbered_in_order(spark, monkeypatch, limit):
     monkeypatch.setattr(hotkeys, "BROADCAST_ROWS", limit)
-    numbered = hotkeys.number_rows(rows(spark).where("key = 'hot'"), "key", 50, stable_scan=True).orderBy("v").collect()
+    numbered = hotkeys.number_rows(rows(spark).where("key = 'hot'"), "key", 50).orderBy("v").collect()
     assert [r["_hk_chunk"] for r in numbered] == [i // 50 for i in range(len(numbered))]
 
 
 def test_aggregate_equals_plain_grouping(spark):
     df = rows(spark)
     plain = df.groupBy("key").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
-    merged = hotkeys.chunked_aggregate(df, "key", {"a": F.count("*"), "b": F.sum("v")}, {"n": F.sum("a"), "s": F.sum("b")}, 10)
+    merged = hotkeys.chunked_aggregate(df, "key", {"n": F.count("*"), "s": F.sum("v")}, lambda a, b: {"n": a["n"] + b["n"], "s": a["s"] + b["s"]}, 10)
     assert set(map(tuple, merged.collect())) == set(map(tuple, plain.collect()))
 
 
-def test_boundary_states_merge_in_order(spark):
-    """Number of rises of a value along a key's rows, from chunks that know only their own ends."""
-    df = rows(spark).withColumn("v", F.col("v") * 37 % 101)
+@pytest.mark.parametrize("fan", [hotkeys.FAN, 2, 3])
+def test_boundary_states_merge_in_order(spark, fan):
+    """Number of rises of a value along a key's rows, from chunks that know only their own ends, in the
+    order of a column that the input isn't sorted by."""
+    df = rows(spark).withColumn("number", F.col("number") * 607 % 1009).withColumn("v", F.col("v") * 37 % 101)
 
     def process(pdf):
-        v = pdf.sort_values("number")["v"].tolist()
+        v = pdf["v"].tolist()
+        assert pdf["number"].is_monotonic_increasing
         return pd.DataFrame({"first": [v[0]], "last": [v[-1]], "rises": [sum(b > a for a, b in zip(v, v[1:]))]})
 
-    states = hotkeys.chunked_apply(df, "key", process, "first bigint, last bigint, rises bigint", 40)
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("rises"))
+    states = hotkeys.chunked_apply(df, "key", process, "first bigint, last bigint, rises bigint", 40, ["number"])
 
-    def step(acc, x):
-        between = F.coalesce((x["first"] > acc["last"]).cast("bigint"), F.lit(0))
-        return F.struct(x["last"].alias("last"), (acc["rises"] + x["rises"] + between).alias("rises"))
+    def combine(a, b):
+        return {"first": a["first"], "last": b["last"], "rises": a["rises"] + b["rises"] + (b["first"] > a["last"]).cast("bigint")}
 
-    got = dict(map(tuple, hotkeys.merge_ordered(states, "key", ["first", "last", "rises"], start, step, lambda a: a["rises"]).collect()))
+    got = {r["key"]: r["rises"] for r in hotkeys.merge_ordered(states, "key", combine, fan).collect()}
     want = {}
     for key, own in df.toPandas().groupby("key", dropna=False):
         v = own.sort_values("number")["v"].tolist()
@@ -68,6 +69,19 @@ def test_boundary_states_merge_in_order(spark):
     assert got == want
 
 
+def test_many_states_of_one_key(spark):
+    """A key with far more chunks than are merged at once."""
+    states = spark.range(0, 5000, 1, 7).select(F.when(F.col("id") >= 0, "hot").alias("key"), F.col("id").alias("_hk_chunk"), F.col("id").cast("string").alias("a"), F.lit(1).alias("n"))
+    got = hotkeys.merge_ordered(states, "key", lambda x, y: {"a": F.concat(x["a"], F.lit(","), y["a"]), "n": x["n"] + y["n"]}, 10).collect()
+    assert [tuple(r) for r in got] == [("hot", ",".join(map(str, range(5000))), 5000)]
+
+
+def test_no_setting_of_the_session_changes(spark):
+    before = {k: v for k, v in spark.sparkContext.getConf().getAll()} | dict(spark.conf.getAll)
+    hotkeys.number_rows(rows(spark), "key", 64).count()
+    assert {k: v for k, v in spark.sparkContext.getConf().getAll()} | dict(spark.conf.getAll) == before
+
+
 def test_empty_input(spark):
     empty = rows(spark).where("false")
     assert hotkeys.number_rows(empty, "key", 5).count() == 0
@@ -95,12 +109,12 @@ def test_clashing_columns(spark, monkeypatch, limit):
     monkeypatch.setattr(hotkeys, "BROADCAST_ROWS", limit)
     plain = rows(spark)
     odd = plain.toDF("KEY", "key", "_hk_offset").withColumn("_hk_chunk", F.lit("mine"))
-    got = hotkeys.number_rows(odd, "key", 64, stable_scan=True)
-    assert got.columns == ["KEY", "key", "_hk_offset", "_hk_chunk"]
-    want = counted(hotkeys.number_rows(plain, "key", 64, stable_scan=True))
-    assert collections.Counter((r[1], r[3]) for r in got.collect()) == want
+    got = hotkeys.number_rows(odd, "key", 64)
+    assert got.columns == ["KEY", "key", "_hk_offset", "_hk_row", "_hk_chunk"]
+    want = counted(hotkeys.number_rows(plain, "key", 64))
+    assert collections.Counter((r[1], r[4]) for r in got.collect()) == want
     twice = plain.toDF("key", "v", "key")
-    assert hotkeys.number_rows(twice, "key", 64).columns == ["key", "v", "key", "_hk_chunk"]
+    assert hotkeys.number_rows(twice, "key", 64).columns == ["key", "v", "key", "_hk_row", "_hk_chunk"]
     placed = with_position(plain.toDF("position", "key", "Key"), ["Key"])
     assert placed.columns == ["key", "Key", "position"]
     assert sorted(r[2] for r in placed.collect()) == list(range(1000))
