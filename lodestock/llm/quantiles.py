@@ -25,9 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestock.operators.columns import pick
+from lodestock.session import cut
 
 SIZE = 800
 SHRINK = 2 / 3
@@ -35,6 +37,7 @@ LEAST = 8
 DELTA = 0.01
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 HELD_VALUES = 2_000_000
+FAN = 256
 _STATE = [
     T.StructField("n", T.LongType()),
     T.StructField("least", T.LongType()),
@@ -134,7 +137,7 @@ def _emit(held: list[tuple[tuple, Sketch]], schema: pa.Schema, step: int = 5_000
 
 def sketch_groups(df: DataFrame, keys: list[str], value: str, size: int = SIZE, seed: int = 7) -> DataFrame:
     """(keys..., state...): one sketch per group. Each task reduces its rows to sketches first, so a hot
-    group moves as one sketch per task; those are merged after one exchange."""
+    group moves as one sketch per task; see merge_sketches for how those are merged."""
     df = pick(df, *keys, value)
     fields = [df.schema[k] for k in keys]
 
@@ -170,9 +173,22 @@ def sketch_groups(df: DataFrame, keys: list[str], value: str, size: int = SIZE,
     return merge_sketches(states, keys, size, seed + 1)
 
 
-def merge_sketches(states: DataFrame, keys: list[str], size: int = SIZE, seed: int = 8) -> DataFrame:
-    """(keys..., state...): sketches merged by fewer or the same keys. They come sorted by key, so a task
-    holds one merged sketch at a time, however many there are of a key."""
+def merge_sketches(states: DataFrame, keys: list[str], size: int = SIZE, seed: int = 8, fan: int | None = None) -> DataFrame:
+    """(keys..., state...): sketches merged by fewer or the same keys, computed and kept. Those of FAN
+    partitions are merged at a time, level by level, so a hot key's sketches are spread over as many tasks
+    as it has FANs of them. They come sorted by key, so a task holds one merged sketch at a time."""
+    fan = fan or FAN
+    columns = [*keys, *(f.name for f in _STATE)]
+    part = F.expr(f"spark_partition_id() div {fan}")
+    while True:
+        states = cut(_merged(states.select(*columns, part.alias("_part")), [*keys, "_part"], size, seed))
+        if not states.agg(F.max("_part")).first()[0]:
+            return states.select(*columns)
+        part, seed = F.expr(f"_part div {fan}"), seed + 1
+
+
+def _merged(states: DataFrame, keys: list[str], size: int, seed: int) -> DataFrame:
+    """The sketches of each key merged in one task."""
     fields = [states.schema[k] for k in keys]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,5 +245,3 @@ def percentiles(states: DataFrame, keys: list[str], quantiles: tuple[float, ...]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], names=arrow.names)
 
     return states.mapInArrow(read, schema)
-
-

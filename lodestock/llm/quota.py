@@ -8,7 +8,8 @@ proportion to their target shares as far as their rows go. What nobody has is re
 
 The draw takes from each category the rows of lowest rank in a pseudo-random order, without sorting a
 category in one task: rows are counted by ranges of the order, the range in which the quota ends is
-refined until it is small, and only that range is ranked.
+refined until it is small, and only that range is ranked. Beyond TARGET_ROWS targets, rows meet them by
+a join that spreads each label over tasks.
 
 Null and '' labels are `unlabeled`. A null minimum is 0; a null share or size asks for nothing. Targets
 of labels without rows are unmet. Repeated rows are rows of their own: each may be drawn once. Empty
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestock.functions import label_key
 from lodestock.operators.columns import pick
+from lodestock.operators.joins import spread_join
 from lodestock.session import broadcast_if_small, cut
 
 EXACT = "decimal(38,12)"
@@ -60,14 +62,15 @@ def _filled(df: DataFrame, by: list[str], amount: Column, room: Column, weight:
 
 def allocate(targets: DataFrame, available: DataFrame, tree: DataFrame) -> DataFrame:
     """One row per target: (plan_id, label, category_group, wanted, minimum, available, allocated,
-    missing, passed, unmet, short).
+    passed, filled, unkept, missing, unmet, short).
 
     targets: (plan_id, sample_size, label, target_share, min_items); available: (label, available);
     tree: (label, category_group), for labels without one OTHER_GROUP. A plan's allocations add up to
     what its targets want, unless the minimums alone are more or all its labels together have less.
-    `missing`: rows that the label lacks for its target or minimum; `short`: there are some. `passed`:
-    what was handed on to others, of which `unmet` (rounded up) found no taker. The windows run within a
-    plan, which has one row per category.
+    Of what a label lacks for its target, `passed` was handed on to others, of which `unmet` (rounded up)
+    found no taker, and `filled` was filled by the minimums of others; `unkept` is what it lacks for its
+    minimum. `missing` is the more of the two, and `short` says that there is any. The windows run within
+    a plan, which has one row per category. The allocation is computed whole, once; reports and draws read it.
     """
     t = pick(targets, "plan_id", "sample_size", "label", "target_share", "min_items").select(
         "plan_id",
@@ -97,8 +100,9 @@ def allocate(targets: DataFrame, available: DataFrame, tree: DataFrame) -> DataF
     t = _filled(t, plan, rest, F.col("available") - F.col("_own") - F.col("_siblings"), share, "_cousins")
     handed = F.sum("passed").over(over_plan)
     left = handed - F.sum(F.col("_siblings") + F.col("_cousins")).over(over_plan)
-    missing = F.greatest(F.greatest("wanted", "minimum") - F.col("available"), none)
-    return t.select(
+    t = t.withColumns({"filled": F.col("_lack") - F.col("passed"), "unkept": F.col("minimum") - F.least("minimum", "available")})
+    t = t.withColumn("missing", F.greatest(F.col("passed") + F.col("filled"), F.col("unkept")))
+    return cut(t.select(
         "plan_id",
         "label",
         "category_group",
@@ -106,11 +110,13 @@ def allocate(targets: DataFrame, available: DataFrame, tree: DataFrame) -> DataF
         "minimum",
         "available",
         (F.col("_own") + F.col("_siblings") + F.col("_cousins")).alias("allocated"),
-        missing.alias("missing"),
         "passed",
+        "filled",
+        "unkept",
+        "missing",
         F.when(handed > 0, F.ceil(F.col("passed") * left / handed)).otherwise(none).cast("bigint").alias("unmet"),
-        (missing > 0).alias("short"),
-    )
+        (F.col("missing") > 0).alias("short"),
+    ))
 
 
 def draw(items: DataFrame, label: str, allocation: DataFrame, key: str, seed: int = 11) -> DataFrame:
@@ -119,15 +125,14 @@ def draw(items: DataFrame, label: str, allocation: DataFrame, key: str, seed: in
     items = pick(items, label, key).toDF("_l", "_k")
     asked = cut(allocation.where("allocated > 0").select("plan_id", F.col("label").alias("_label"), F.col("allocated").alias("_need")))
     rows = items.select(label_key("_l").alias("label"), F.col("_k").alias("_key"))
-    small = broadcast_if_small(asked, TARGET_ROWS)
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "plan_id", "_key"), 1)
 
     def candidates(cuts: DataFrame) -> DataFrame:
-        return rows.join(cuts, F.col("label") == F.col("_label")).withColumn("_order", order)
+        return spread_join(rows, cuts, "label", "_label", TARGET_ROWS).withColumn("_order", order)
 
     # _shift: how many low bits of the order lie within the range; _prefix: the range; _need: rows still
     # to take from it; everything below it is taken.
-    cuts = small.withColumns({"_shift": F.lit(63), "_prefix": F.lit(0).cast("bigint"), "_rows": F.lit(2**62)})
+    cuts = asked.withColumns({"_shift": F.lit(63), "_prefix": F.lit(0).cast("bigint"), "_rows": F.lit(2**62)})
     for shift in range(63 - BITS, 0, -BITS):
         inside = F.shiftright("_order", shift + BITS) == F.col("_prefix")
         counts = (
@@ -154,7 +159,6 @@ def draw(items: DataFrame, label: str, allocation: DataFrame, key: str, seed: in
         if not cuts.where(F.col("_rows") > RANKED_ROWS).limit(1).count():
             break
         # A range that isn't settled keeps being refined, with its prefix in the next, finer, unit.
-    cuts = broadcast_if_small(cuts, TARGET_ROWS)
     placed = candidates(cuts).withColumn("_at", F.expr("shiftright(_order, _shift)"))
     below = placed.where(F.col("_at") < F.col("_prefix"))
     within = placed.where(F.col("_at") == F.col("_prefix")).withColumn(

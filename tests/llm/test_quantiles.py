@@ -82,6 +82,28 @@ def test_days_merge_to_all(spark):
     assert q.percentiles(days, ["label", "day"]).columns == ["label", "day", "n", "least", "most", "p5", "p25", "p50", "p75", "p95", "p99", "rank_error"]
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_sketches_merge_level_by_level(spark, monkeypatch, fan):
+    """Of a key that 90 % of the rows have, no task merges more than the sketches of `fan` partitions."""
+    df = spark.range(0, 60_000, 1, 10).select(F.when(F.col("id") % 10 < 9, "hot").otherwise((F.col("id") % 7).cast("string")).alias("label"), F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("n"))
+    at_once = []
+    real = q._merged
+
+    def counting(states, keys, size, seed):
+        at_once.append(states.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return real(states, keys, size, seed)
+
+    monkeypatch.setattr(q, "_merged", counting)
+    monkeypatch.setattr(q, "FAN", fan)
+    got = {r["label"]: r for r in q.percentiles(q.sketch_groups(df, ["label"], "n"), ["label"]).collect()}
+    assert len(at_once) > 2 and max(at_once) <= fan
+    hot = sorted(r["n"] for r in df.where("label = 'hot'").collect())
+    assert got["hot"]["n"] == len(hot) == 54_000
+    for share in q.QUANTILES:
+        at = bisect.bisect_left(hot, got["hot"][f"p{share * 100:g}"])
+        assert abs(at + 1 - math.ceil(share * len(hot))) <= got["hot"]["rank_error"] * len(hot)
+
+
 def test_flushing_changes_no_counts(spark, monkeypatch):
     df = rows(spark, 5000)
     want = {(r["label"], r["day"], r["n"]) for r in q.percentiles(q.sketch_groups(df, ["label", "day"], "n"), ["label", "day"]).collect()}

@@ -95,6 +95,16 @@ def test_draw_has_the_allocated_sizes(spark, monkeypatch, ranked):
     assert sorted(map(tuple, again)) == sorted(map(tuple, drawn))
 
 
+def test_draw_with_many_targets(spark, monkeypatch):
+    """More targets than are broadcast, and a label with 90 % of the rows."""
+    items = spark.range(0, 3000, 1, 6).select(F.col("id").alias("item_id"), F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("l"), F.col("id") % 7)).alias("label"))
+    asked = spark.createDataFrame([(1, "hot", 1234), (2, "hot", 3), (1, "l3", 5), (3, "hot", 2700)], "plan_id int, label string, allocated bigint")
+    few = sorted(map(tuple, quota.draw(items, "label", asked, "item_id").collect()))
+    monkeypatch.setattr(quota, "TARGET_ROWS", 0)
+    assert sorted(map(tuple, quota.draw(items, "label", asked, "item_id").collect())) == few
+    assert collections.Counter((p, l) for p, l, _ in few) == {(1, "hot"): 1234, (2, "hot"): 3, (1, "l3"): 5, (3, "hot"): 2700}
+
+
 def test_draw_is_spread_over_the_rows(spark):
     items = spark.range(10000).select(F.col("id").alias("item_id"), F.lit("a").alias("label"))
     asked = spark.createDataFrame([(1, "a", 1000)], "plan_id int, label string, allocated bigint")
