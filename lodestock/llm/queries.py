@@ -164,11 +164,13 @@ def _p7_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _p7_verbatim(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, item_id) of the leaks in which the item's text stands in the post letter for letter."""
-    items = table(spark, sf, "eval_items").select("item_id", F.col("text").alias("item_text"))
+    """(doc_id, item_id) of the leaks in which all words of the item stand in the post, with any case and
+    with anything but letters and digits between them."""
+    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    items = table(spark, sf, "eval_items").select("item_id", plain.alias("item_text"))
     found = _p7_found(spark, sf).join(F.broadcast(items) if fits(items, 10_000) else items, "item_id")
-    texts = table(spark, sf, "documents").select("doc_id", "text")
-    return found.join(texts, "doc_id").where(F.contains("text", "item_text")).select("doc_id", "item_id")
+    texts = table(spark, sf, "documents").select("doc_id", plain.alias("doc_text"))
+    return found.join(texts, "doc_id").where(F.contains("doc_text", "item_text")).select("doc_id", "item_id")
 
 
 def _formed(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,6 +232,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _KEY = "coalesce(nullif(label, ''), 'unlabeled')"
 _DIGEST = """regexp_replace(regexp_extract(lower(sha256), '(^|[^0-9a-z])(0x)?([0-9a-f]([^0-9a-z]*[0-9a-f]){63})([^0-9a-z]|$)', 3), '[^0-9a-f]', '', 'g')"""
+_PLAIN = r"""' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' '"""
 _FIRST = f"""known AS (SELECT {_DIGEST} AS d FROM items UNION SELECT {_DIGEST} FROM starter_items),
 r AS (SELECT seq, {_DIGEST} AS d FROM import_requests),
 f AS (SELECT d, min(seq) AS first FROM r WHERE d <> '' GROUP BY d)"""
@@ -245,33 +248,6 @@ UNION ALL SELECT 'all', label, NULL, count(*), min(size), max(size) FROM s WHERE
 SELECT seq FROM r JOIN f USING (d) WHERE seq > first OR d IN (SELECT d FROM known)""",
     "p5_keys": f"""WITH {_FIRST}
 SELECT count(*) AS new_keys, sum(first)::decimal(38,0) AS first FROM f WHERE d NOT IN (SELECT d FROM known)""",
-    "p6_round_trip": _p6_round_trip,
-    "p7_found": _p7_found,
-    "p7_spans": _p7_spans,
-    "p7_verbatim": _p7_verbatim,
-    "p8_found": _p8_found,
-    "p8_forms": _p8_forms,
-    "p8_classes": _p8_classes,
-    "p8_plain": _p8_plain,
-}
-
-_KEY = "coalesce(nullif(label, ''), 'unlabeled')"
-_DIGEST = """regexp_replace(regexp_extract(lower(sha256), '(^|[^0-9a-z])(0x)?([0-9a-f]([^0-9a-z]*[0-9a-f]){63})([^0-9a-z]|$)', 3), '[^0-9a-f]', '', 'g')"""
-_FIRST = f"""known AS (SELECT {_DIGEST} AS d FROM items UNION SELECT {_DIGEST} FROM starter_items),
-r AS (SELECT seq, {_DIGEST} AS d FROM import_requests),
-f AS (SELECT d, min(seq) AS first FROM r WHERE d <> '' GROUP BY d)"""
-
-SQL: dict[str, str] = {
-    "p2_found": f"""WITH a AS (SELECT {_KEY} AS label, count(*) AS n FROM items GROUP BY 1)
-SELECT t.plan_id, t.label FROM sample_targets t LEFT JOIN a USING (label)
-WHERE coalesce(n, 0) < round(coalesce(t.target_share * t.sample_size, 0)) OR coalesce(n, 0) < coalesce(t.min_items, 0)""",
-    "p4_groups": f"""WITH s AS (SELECT {_KEY} AS label, requested_at::date AS day, nullif(size, -1) AS size FROM import_requests)
-SELECT 'day' AS scope, label, day, count(*) AS n, min(size) AS least, max(size) AS most FROM s WHERE size IS NOT NULL GROUP BY label, day
-UNION ALL SELECT 'all', label, NULL, count(*), min(size), max(size) FROM s WHERE size IS NOT NULL GROUP BY label""",
-    "p5_found": f"""WITH known AS (SELECT {_DIGEST} AS d FROM items UNION SELECT {_DIGEST} FROM starter_items),
-r AS (SELECT seq, {_DIGEST} AS d FROM import_requests),
-f AS (SELECT d, min(seq) AS first FROM r WHERE d <> '' GROUP BY d)
-SELECT seq FROM r JOIN f USING (d) WHERE seq > first OR d IN (SELECT d FROM known)""",
     "p1_certain": f"""WITH n AS (SELECT class_id, class_name AS name FROM class_list UNION SELECT class_id, unnest(aliases) FROM class_list),
 r AS (SELECT seq, {_KEY} AS label FROM import_requests)
 SELECT seq, coalesce(class_id, -1)::int AS class_id FROM r LEFT JOIN n ON lower(trim(label, ' ')) = name
@@ -285,7 +261,8 @@ SELECT plan_id, x AS allocated, x AS drawn FROM p""",
 SELECT 'day' AS scope, label, day, count(*) AS n, true AS within FROM s WHERE size IS NOT NULL GROUP BY label, day
 UNION ALL SELECT 'all', label, NULL, count(*), true FROM s WHERE size IS NOT NULL GROUP BY label""",
     "p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
-    "p7_verbatim": """SELECT doc_id, item_id FROM documents d JOIN eval_items i ON contains(d.text, i.text)""",
+    "p7_verbatim": f"""SELECT doc_id, item_id FROM (SELECT doc_id, {_PLAIN} AS t FROM documents) d JOIN (SELECT item_id, {_PLAIN} AS i FROM eval_items) e
+ON contains(t, i) WHERE trim(i) <> ''""",
     "p8_plain": """WITH d AS (SELECT doc_id, text, replace(replace(replace(replace(replace(replace(text, chr(173), ''), chr(8203), ''), chr(8288), ''), chr(65279), ''),
   chr(160), ' '), chr(8239), ' ') AS plain FROM documents WHERE trim(text, chr(9) || chr(10) || chr(13) || ' ') <> '')
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.plain = b.plain AND a.doc_id < b.doc_id AND a.text <> b.text""",
