@@ -3,4 +3,4 @@
 from lodestock.catalog import Catalog, ImportOutcome
 
 __all__ = ["Catalog", "ImportOutcome"]
-__version__ = "0.1.0"
+__version__ = "0.2.0"

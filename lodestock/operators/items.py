@@ -83,7 +83,9 @@ def absent(rows: DataFrame, known: DataFrame, key: str = "sha256") -> DataFrame:
 
 def winners(requests: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """(sha256, seq) of the request that wins each digest: that of least seq among those whose digest
-    isn't in `existing`. A hash aggregation of two narrow columns, reduced before it moves."""
+    isn't in `existing`. A hash aggregation of two narrow columns, reduced before it moves. Digests are
+    compared letter for letter, as the manifest keeps them; functions.digest_of makes one of their ways
+    of writing, where a caller wants these to be equal."""
     won = requests.where(F.col("sha256").isNotNull()).groupBy("sha256").agg(F.min("seq").alias("seq"))
     # Each digest is one row by now, so none is hot.
     return won if existing is None else won.join(existing.select("sha256"), "sha256", "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestock import functions as fn
 from lodestock.operators import hotkeys, ordering
 from lodestock.operators import items as ops
-from lodestock.sources import manifest
+from lodestock.sources import files, manifest
 from lodestock.streaming import counts as stream_counts
 
 CHUNK_ROWS = 10_000
@@ -101,6 +102,21 @@ def _manifest_items(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.explode_items(table(spark, sf, "manifests"))
 
 
+def _manifest_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The items of every manifest, written as text and read again strictly."""
+    return manifest.items_of_text(manifest.text_of(table(spark, sf, "manifests")))
+
+
+def _file_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """(name, same_size): every file of the tables' folder hashed; whether as many bytes were read as the
+    file system says, and the digest is one."""
+    paths = [(str(p), p.name, p.stat().st_size) for p in sorted(Path(sf).rglob("*")) if p.is_file()]
+    listed = spark.createDataFrame([(i, *p) for i, p in enumerate(paths)], "seq bigint, source string, name string, bytes bigint")
+    hashed = files.hash_paths(listed.select("seq", "source", F.lit(None).cast("string").alias("label")).repartition(spark.sparkContext.defaultParallelism))
+    met = hashed.join(listed.select("seq", "name", "bytes"), "seq")
+    return met.select("name", ((F.col("size") == F.col("bytes")) & F.col("sha256").rlike("^[0-9a-f]{64}$")).alias("same_size"))
+
+
 def _manifest_summary(spark: SparkSession, sf: str) -> DataFrame:
     return ops.summary(_manifest_items(spark, sf), ["manifest_id"]).select(
         "manifest_id", "items", "bytes", F.to_json("labels").alias("labels")
@@ -184,6 +200,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "manifest_gate": _manifest_gate,
     "manifest_items": _manifest_items,
     "manifest_summary": _manifest_summary,
+    "manifest_text": _manifest_text,
+    "file_digests": _file_digests,
     "manifest_order": _manifest_order,
     "label_order": _label_order,
     "manifest_documents": _manifest_documents,
@@ -231,6 +249,8 @@ WHERE NOT EXISTS (SELECT 1 FROM items i WHERE i.sha256 = r.sha256)""",
     "manifest_items": _MANIFEST_ITEMS,
     "manifest_summary": f"""WITH l AS (SELECT manifest_id, {_KEY} AS k, count(*) AS n, sum(size) AS b FROM ({_MANIFEST_ITEMS}) GROUP BY 1, 2)
 SELECT manifest_id, sum(n)::bigint AS items, coalesce(sum(b), 0)::decimal(38,0) AS bytes, {_LABELS} AS labels FROM l GROUP BY 1""",
+    "manifest_text": f"""SELECT m.* FROM ({_MANIFEST_ITEMS}) m WHERE manifest_id NOT IN (SELECT manifest_id FROM ({_MANIFEST_ITEMS})
+WHERE sha256 IS NULL OR source IS NULL OR size IS NULL)""",
     "manifest_order": "SELECT item_id, sha256, row_number() OVER (ORDER BY sha256 NULLS FIRST, item_id) - 1 AS position FROM items",
     "label_order": f"SELECT label, items, row_number() OVER (ORDER BY label) - 1 AS position FROM (SELECT {_KEY} AS label, count(*) AS items FROM items GROUP BY 1)",
     "manifest_documents": "SELECT manifest_id, to_json({'schema_version': schema_version, 'items': items})::varchar AS document FROM manifests",

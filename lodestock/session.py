@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,21 @@ from pyspark.sql import functions as F
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, which need it for every operator that runs Python. Not needed
+    where it's installed on them or on their PYTHONPATH, nor twice."""
+    package = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="lodestock-ship-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = folder / "lodestock.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
-    """A local session for tests, the command line and the bench; clusters bring their own."""
+    """A local session for tests, the command line and the bench; clusters bring their own, and ship()."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("lodestock")
     defaults = {
         "spark.sql.shuffle.partitions": "8",
@@ -22,7 +37,9 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
-    return builder.config(map=defaults | conf).getOrCreate()
+    spark = builder.config(map=defaults | conf).getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

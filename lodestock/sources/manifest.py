@@ -15,6 +15,7 @@ from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,3 +109,37 @@ def explode_items(manifests: DataFrame) -> DataFrame:
     """(manifest_id, sha256, source, size, label): the items of the supported manifests, duplicates
     too; an empty manifest gives no rows."""
     return supported(manifests).select("manifest_id", F.inline(ITEMS_FIELD))
+
+
+def text_of(manifests: DataFrame) -> DataFrame:
+    """(manifest_id, document): each row of a table of manifests as the bytes that `encode` writes, in the
+    order of its items' digests; an unsupported row too, with its version as it is. Null items stay null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            documents = []
+            for version, items in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                ordered = items and sorted(items, key=lambda i: ((i or {}).get("sha256") or ""))
+                documents.append(encode({VERSION_FIELD: version, ITEMS_FIELD: ordered}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(documents, pa.binary())], names=["manifest_id", "document"])
+
+    return manifests.select(F.col("manifest_id").cast("bigint"), VERSION_FIELD, ITEMS_FIELD).mapInArrow(run, "manifest_id bigint, document binary")
+
+
+def items_of_text(documents: DataFrame) -> DataFrame:
+    """(manifest_id, sha256, source, size, label): the items of manifests in bytes (manifest_id, document),
+    each read as strictly as `decode` does; a manifest that can't be read gives no rows, nor does null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for number, document in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    items = decode(document or b"")[ITEMS_FIELD]
+                except ManifestError:
+                    continue
+                rows += [(number, *(item[f] for f in ITEM_FIELDS)) for item in items]
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["manifest_id", *ITEM_FIELDS])
+
+    return documents.select("manifest_id", "document").mapInArrow(run, "manifest_id bigint, sha256 string, source string, size bigint, label string")

@@ -1,6 +1,8 @@
 """Every registered query of the core against its SQL, on the smallest tables."""
 
 import os
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -32,10 +34,16 @@ def same(spark, db, data, query, sql):
 
 
 def test_all_queries_have_sql():
-    assert set(core.SQL) == set(core.QUERIES)
+    # What a folder holds, SQL over the tables doesn't know.
+    assert set(core.SQL) == set(core.QUERIES) - {"file_digests"}
 
 
-@pytest.mark.parametrize("name", list(core.QUERIES))
+def test_file_digests(spark, data):
+    got = core.QUERIES["file_digests"](spark, data).collect()
+    assert {r["name"] for r in got} == {p.name for p in Path(data).rglob("*") if p.is_file()} and all(r["same_size"] for r in got)
+
+
+@pytest.mark.parametrize("name", list(core.SQL))
 def test_query(spark, db, data, name):
     same(spark, db, data, core.QUERIES[name], core.SQL[name])
 
@@ -54,3 +62,36 @@ def test_nothing_outside_imports_the_optional_subpackage():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "lodestock.llm" not in f.read_text()
+
+
+def test_only_an_absent_subpackage_is_taken_for_absence(monkeypatch):
+    import __spark_entry__ as entry
+
+    def fails(name):
+        def load(module):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+        return load
+
+    monkeypatch.setattr(entry.importlib, "import_module", fails("lodestock." + "llm"))
+    assert set(entry.queries()) == set(core.QUERIES)
+    monkeypatch.setattr(entry.importlib, "import_module", fails("xxhash"))
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
+
+
+def test_executors_get_the_package(tmp_path):
+    """A session started from another folder, the package on the driver's path alone."""
+    root = Path(core.__file__).parents[2]
+    script = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from lodestock.session import local_session
+from lodestock.sources.files import hash_paths
+spark = local_session(1)
+open("f", "w").write("sample-image")
+print("digest", hash_paths(spark.createDataFrame([(1, "f", None)], "seq bigint, source string, label string")).first()["sha256"])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "digest c9da6ac892c00c4a7b8ac147474e39e222d504916a215f69089da97e27386b9d" in done.stdout, done.stderr[-2000:]
