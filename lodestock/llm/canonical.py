@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from lodestock.llm.glyphs import bare
 from lodestock.operators.columns import by_place, others, pick, place
-from lodestock.operators.joins import spread_join
+from lodestock.operators.joins import member_join, spread_join
 from lodestock.session import cut, fits
 
 MISS = -1
@@ -356,15 +356,15 @@ def learned_fillers(values: DataFrame, entries: DataFrame, least: int = FILLER_E
             rows = [(v, w) for v in batch.column(0).to_pylist() for w in words(v)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["value", "word"])
 
-    in_list = listed.where("word <> ''").select(F.col("word").alias("_word")).distinct()
-    every = values.mapInArrow(each_word, "value string, word string")
-    marked = every.join(F.broadcast(in_list) if fits(in_list, FILLER_WORDS) else in_list, F.col("word") == F.col("_word"), "left")
-    is_held = F.col("_word").isNotNull()
+    in_list = listed.where("word <> ''").select("word").distinct()
+    every = cut(values.mapInArrow(each_word, "value string, word string"))
+    held_words, other = (member_join(every, in_list, "word", how) for how in ("left_semi", "left_anti"))
+    marked = held_words.withColumn("held", F.lit(True)).unionByName(other.withColumn("held", F.lit(False)))
     per_value = marked.groupBy("value").agg(
-        F.array_join(F.array_sort(F.collect_list(F.when(is_held, F.col("word")))), " ").alias("name"), F.collect_set(F.when(~is_held, F.col("word"))).alias("more")
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("held"), F.col("word")))), " ").alias("name"), F.collect_set(F.when(~F.col("held"), F.col("word"))).alias("more")
     )
-    entries_of = listed.where("name <> ''").select("name", "class_id").distinct()
-    beside = per_value.where(F.size("more") > 0).join(entries_of, "name").select(F.explode("more").alias("word"), "class_id")
+    entries_of = listed.where("name <> ''").select(F.col("name").alias("_name"), "class_id").distinct()
+    beside = spread_join(per_value.where(F.size("more") > 0), entries_of, "name", "_name").select(F.explode("more").alias("word"), "class_id")
     return beside.groupBy("word").agg(F.countDistinct("class_id").alias("n")).where(F.col("n") >= least).select("word")
 
 

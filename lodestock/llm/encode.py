@@ -7,7 +7,7 @@ for a piece of n bytes, so one very long piece is no danger. Ids are decoded by
 vocabulary's byte strings.
 
 Null and empty texts give an empty list. Names of special tokens are ordinary text. Any text decodes to
-itself. Repeated pieces are encoded once per task (up to a bound of remembered pieces).
+itself. Repeated parts between spaces are encoded once per task (up to a bound of remembered parts).
 
 The vocabulary is a file of lines "base64 rank"; its path is a parameter, read on the driver and
 broadcast behind a check of its size, or read from the same path by the executors beyond it.
@@ -18,8 +18,10 @@ from __future__ import annotations
 import base64
 import heapq
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from lodestock.operators.columns import by_place, others, place
 VOCABULARY = os.environ.get("LODESTOCK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# White space around a space, where a piece may hold the space and what stands before it.
+_CROSSING = re.compile(r"\s \s|\s \Z")
 BROADCAST_BYTES = 64 << 20
 REMEMBERED = 200_000
 REMEMBERED_LENGTH = 64
@@ -42,26 +46,38 @@ def parse(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in raw.splitlines() if line)}
 
 
-class Encoder:
+class Encoder(dict):
+    """Ids of texts. As a dict, the ids of the parts of texts that were encoded before: a part is what
+    stands before a space, or a space and what follows it up to the next. No piece of the pattern reaches
+    from one part into another, except in runs of white space as _CROSSING finds them."""
+
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN) -> None:
+        super().__init__()
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.memory: dict[str, list[int]] = {}
 
-    def encode(self, text: str | None) -> list[int]:
-        ids: list[int] = []
-        for piece in self.split(text or ""):
-            known = self.memory.get(piece)
-            if known is None:
-                known = self.merge(piece.encode("utf-8"))
-                if len(piece) <= REMEMBERED_LENGTH:
-                    if len(self.memory) >= REMEMBERED:
-                        self.memory.clear()
-                    self.memory[piece] = known
-            ids += known
+    def __missing__(self, part: str) -> list[int]:
+        pieces = self.split(part)
+        if len(pieces) == 1:
+            ids = self.merge(part.encode("utf-8"))
+        else:
+            ids = list(chain.from_iterable(map(self.__getitem__, pieces)))
+        if len(part) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[part] = ids
         return ids
 
+    def encode(self, text: str | None) -> list[int]:
+        if not text:
+            return []
+        if "\0" in text or _CROSSING.search(text):
+            parts = self.split(text)  # a piece is a part, too
+        else:
+            parts = text.replace(" ", "\0 ").split("\0")
+        return list(chain.from_iterable(map(self.__getitem__, parts)))
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", errors="replace")
 
@@ -110,7 +126,7 @@ def _encoder_source(df: DataFrame, path: str) -> Callable[[], Encoder]:
 
 def _lists(each: list[list[int]]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter((i for x in each for i in x), np.int32, int(ends[-1]))))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(each), np.int32, int(ends[-1]))))
 
 
 def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, path: str, convert: Callable[[Encoder, list], pa.Array]) -> DataFrame:

@@ -219,7 +219,8 @@ def forms(df: DataFrame, key: str, text: str, broadcast_tokens: int = BROADCAST_
         shared = df.sparkSession.sparkContext.broadcast(dict(map(tuple, ways.collect())))
         return base.mapInArrow(_form_rows(lambda: shared.value), schema)
     # More classes than may be broadcast: each text gets its own, by a join on the looks.
-    own = _own_looks(base.where(F.col(text).isNotNull()), key, text).join(ways, "look").groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("look", "written"))).alias("_ways"))
+    looks = _own_looks(base.where(F.col(text).isNotNull()), key, text)
+    own = spread_join(looks, ways.withColumnRenamed("look", "_look"), "look", "_look", broadcast_tokens).groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("look", "written"))).alias("_ways"))
     joined = base.join(own, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, text, "_ways")
     return joined.mapInArrow(_form_rows(None), schema)
 

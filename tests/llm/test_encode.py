@@ -36,6 +36,20 @@ def test_any_text(encoder, public, text):
     assert encoder.decode(encoder.encode(text)) == text
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(" \n\t\r\u00a0\u3000a1',\0é", max_size=14))
+def test_white_space_around_parts(encoder, public, text):
+    assert encoder.encode(text) == public.encode_ordinary(text)
+
+
+def test_forgetting_changes_nothing(public, monkeypatch):
+    monkeypatch.setattr(e, "REMEMBERED", 2)
+    small = e.Encoder(e.parse(open(e.VOCABULARY, "rb").read()))
+    for text in [*TEXTS, "one two three, one two three!", "x" * 100 + " " + "y" * 100]:
+        assert small.encode(text) == public.encode_ordinary(text)
+        assert len(small) <= 2
+
+
 def test_queue_equals_rescanning(encoder):
     """Against the plain rule: merge the leftmost pair of least rank until there is none."""
     for piece in [b"abababab", b"aaaaaaa", " running".encode(), "Straße".encode(), bytes(range(200))]:
@@ -57,7 +71,7 @@ def test_pattern_splits_without_loss():
 def test_memory_is_bounded(encoder, monkeypatch):
     monkeypatch.setattr(e, "REMEMBERED", 3)
     own = e.Encoder(encoder.ranks)
-    assert own.encode("a b c d e f g h") == encoder.encode("a b c d e f g h") and len(own.memory) <= 3
+    assert own.encode("a b c d e f g h") == encoder.encode("a b c d e f g h") and len(own) <= 3
 
 
 def test_frames(spark, encoder, monkeypatch):
