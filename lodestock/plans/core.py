@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from lodestock import functions as fn
 from lodestock.operators import hotkeys, ordering
 from lodestock.operators import items as ops
+from lodestock.session import ensure_checkpoint_dir
 from lodestock.sources import files, manifest
 from lodestock.streaming import counts as stream_counts
+from lodestock.table_catalog import TableCatalog
 
 CHUNK_ROWS = 10_000
 HEAVY_SHARE = 0.05
@@ -61,6 +64,18 @@ def _after_import(spark: SparkSession, sf: str) -> DataFrame:
     return ops.insert_if_absent(table(spark, sf, "items"), table(spark, sf, "import_requests"))
 
 
+def _table_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """The items of a table-backed catalog that took over the manifest's, after the requests were imported
+    in two batches, those received first before the others."""
+    catalog = TableCatalog(f"{ensure_checkpoint_dir(spark)}/catalog-{uuid.uuid4().hex}", spark)
+    catalog.load(table(spark, sf, "items"))
+    requests = table(spark, sf, "import_requests")
+    middle = requests.agg(F.expr("(min(seq) + max(seq)) div 2")).first()[0]
+    for part in (F.col("seq") <= middle, F.col("seq") > middle):
+        catalog.add(requests.where(part))
+    return catalog.items()
+
+
 def _import_log(spark: SparkSession, sf: str) -> DataFrame:
     requests = table(spark, sf, "import_requests").select("seq", "sha256", "source", "size", "label")
     return ops.import_log(requests, table(spark, sf, "items"))
@@ -190,6 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "workspace_summary": _workspace_summary,
     "manifest_first_wins": _first_wins,
     "manifest_after_import": _after_import,
+    "table_catalog": _table_catalog,
     "import_log": _import_log,
     "import_status": _import_status,
     "result_status": _result_status,
@@ -235,6 +251,8 @@ SELECT w.workspace_id, coalesce(g.items, 0) AS items, coalesce(g.bytes, 0)::deci
 FROM workspaces w LEFT JOIN g USING (workspace_id)""",
     "manifest_first_wins": f"WITH {_WON} SELECT sha256, source, size, label FROM won",
     "manifest_after_import": f"""WITH {_WON} SELECT sha256, source, size, label FROM items
+UNION ALL SELECT sha256, source, size, label FROM won""",
+    "table_catalog": f"""WITH {_WON} SELECT sha256, source, size, label FROM items
 UNION ALL SELECT sha256, source, size, label FROM won""",
     "import_log": _LOG,
     "import_status": f"SELECT seq, CASE WHEN added THEN 'added' WHEN NOT added THEN 'already present' END AS status FROM ({_LOG})",
