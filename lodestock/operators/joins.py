@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestock.operators.columns import by_place, place
 from lodestock.session import fits
@@ -13,6 +12,7 @@ BROADCAST_ROWS = 100_000
 SALTS = 32
 # A key is hot if it holds more than this part of all rows, so there are fewer hot keys than 10,000.
 HOT_SHARE = 1e-4
+TRACKED = 100_000
 
 
 def spread_join(rows: DataFrame, few: DataFrame, key: str, few_key: str, limit: int | None = None) -> DataFrame:
@@ -28,11 +28,13 @@ def spread_join(rows: DataFrame, few: DataFrame, key: str, few_key: str, limit:
     return salted.join(repeated, (F.col(key) == F.col(few_key)) & (F.col("_salt") == F.col("_salted"))).drop("_salt", "_salted")
 
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """(key): the keys that each hold more than HOT_SHARE of all rows; fewer than 1 / HOT_SHARE."""
-    least = max(1, int(rows.count() * HOT_SHARE))
-    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > least)
-    return rows.sparkSession.createDataFrame([(r[0],) for r in hot.select(key).collect()], T.StructType([rows.schema[key]]))
+def hot_hashes(rows: DataFrame, key: str) -> DataFrame:
+    """(_hot): hashes of the keys that hold more than HOT_SHARE of all rows, found by a sketch of frequent
+    items of bounded size, so no key is moved. One that it misses is joined like any other."""
+    frequent = F.expr(f"approx_top_k(xxhash64(`{key}`), {int(1 / HOT_SHARE)}, {TRACKED})")
+    n, found = rows.where(F.col(key).isNotNull()).agg(F.count("*"), frequent).first()
+    hot = [(x["item"],) for x in found or [] if x["count"] > max(1, n * HOT_SHARE)]
+    return rows.sparkSession.createDataFrame(hot, "_hot bigint")
 
 
 def member_join(rows: DataFrame, known: DataFrame, key: str, how: str) -> DataFrame:
@@ -41,13 +43,14 @@ def member_join(rows: DataFrame, known: DataFrame, key: str, how: str) -> DataFr
     keys are spread by their input partition over SALTS tasks, to each of which the hot known keys go, and
     all others meet by their key. `rows` keeps all its columns, whatever their names."""
     placed, at = by_place(rows), f"c{place(rows, key)}"
-    keys = by_place(known.select(key)).select(F.col("c0").alias("_known"))
+    # Of one type, as hashes are compared below; what the rows' type can't hold is known of none.
+    keys = by_place(known.select(key)).select(F.col("c0").try_cast(placed.schema[at].dataType).alias("_known"))
     if fits(keys, BROADCAST_ROWS):
         return placed.join(F.broadcast(keys), F.col(at) == F.col("_known"), how).toDF(*rows.columns)
-    hot = F.broadcast(hot_keys(placed.select(at), at).select(F.col(at).alias("_hot")))
+    hot = F.broadcast(hot_hashes(placed.select(at), at))
     salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0)
-    salted = placed.join(hot, F.col(at) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
+    salted = placed.join(hot, F.xxhash64(at) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
     last = F.when(F.col("_hot").isNotNull(), SALTS - 1).otherwise(0)
-    repeated = keys.join(hot, F.col("_known") == F.col("_hot"), "left").select("_known", F.explode(F.sequence(F.lit(0), last)).alias("_salted"))
+    repeated = keys.join(hot, F.xxhash64("_known") == F.col("_hot"), "left").select("_known", F.explode(F.sequence(F.lit(0), last)).alias("_salted"))
     met = salted.join(repeated, (F.col(at) == F.col("_known")) & (F.col("_salt") == F.col("_salted")), how)
     return met.select(*placed.columns).toDF(*rows.columns)

@@ -28,6 +28,21 @@ def test_members(spark, way, known):
     assert {r["v"] for r in joins.member_join(rows, other, "key", "left_anti").collect()} == {r["v"] for r in every if r["key"] not in held}
 
 
+def test_hot_keys_are_found(spark):
+    rows = hot(spark)
+    found = [r["_hot"] for r in joins.hot_hashes(rows, "key").collect()]
+    assert found == [spark.range(1).select(F.xxhash64(F.lit("hot"))).first()[0]]
+    assert joins.hot_hashes(rows.where("false"), "key").count() == 0
+    assert joins.hot_hashes(rows.where("key is null"), "key").count() == 0
+
+
+def test_keys_of_different_types(spark, way):
+    rows = spark.range(0, 3000, 1, 5).select((F.when(F.col("id") % 10 < 9, 5).otherwise(F.col("id"))).cast("int").alias("key"))
+    known = spark.createDataFrame([(5,), (2**40,), (None,)], "key bigint")
+    assert joins.member_join(rows, known, "key", "left_semi").count() == 2700
+    assert joins.member_join(rows, known, "key", "left_anti").count() == 300
+
+
 def test_clashing_columns(spark, way):
     rows = hot(spark, 300).select("v", "key", F.lit(1).alias("KEY"), F.lit(2).alias("_salt"), F.lit(3).alias("v"))
     got = joins.member_join(rows, spark.createDataFrame([("hot",)], "key string"), "key", "left_semi")
